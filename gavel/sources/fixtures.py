@@ -145,7 +145,14 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.concat(F.lit(',"model":"'), F.col("model"), q), F.lit("")),
         F.lit("}"),
     )
-    return typed.withColumn("details", F.when((seq % 50) == 0, F.lit("bad")).otherwise(body))
+    summary = (
+        F.when(et == "planner_run", F.lit("Planner Agent generated plan"))
+        .when(et == "data_agent_run", F.concat(F.lit("Data Agent completed (quality_passed="), F.when(F.col("quality_passed"), "True").otherwise("False"), F.lit(")")))
+        .when(et == "training_run", F.concat(F.lit("Training Agent selected model: "), F.col("model")))
+        .when(et == "fairness_run", F.lit("Fairness Agent evaluated sensitive attributes"))
+        .otherwise(F.concat(F.lit("Human reviewer submitted decision: '"), F.col("decision"), F.lit("'")))
+    )
+    return typed.withColumn("summary", summary).withColumn("details", F.when((seq % 50) == 0, F.lit("bad")).otherwise(body))
 
 
 def _pick(values: list[str], seq: Column) -> Column:

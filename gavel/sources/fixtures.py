@@ -157,3 +157,48 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pick(values: list[str], seq: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (seq % len(values) + 1).cast("int"))
+
+
+# ---------------------------------------------------------------------------
+# Raw plan texts: one per planner event, ten shapes chosen by the event id
+# ---------------------------------------------------------------------------
+
+# Model-name spellings a planner may produce.
+PLAN_MODEL_NAMES = [
+    "LogisticRegression", "Random Forest", "XGBoost", "gradient-boosting", "Ridge",
+    "lasso_regression", "SVM", "NeuralNet", "logistic",
+]
+
+
+def plan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan_id, run_id, raw): the plan text a planner event produced.
+    Shapes by plan_id % 10: 0 valid, 1 fenced, 2 list field as a string,
+    3 missing key, 4 broken JSON, 5 explicit drop step, 6 SMOTE step,
+    7 class-weight step, 8 substring trap step, 9 empty candidates with
+    protected_attributes."""
+    ev = run_events(spark, sf_dir).where(F.col("event_type") == "planner_run").select(F.col("seq").alias("plan_id"), "run_id")
+    pid = F.col("plan_id")
+    shape = pid % 10
+    m1 = _pick(PLAN_MODEL_NAMES, pid)
+    m2 = _pick(PLAN_MODEL_NAMES, F.floor(pid / 9).cast("long"))
+    steps = (
+        F.when(shape == 5, F.lit('["Drop column priority", "Impute missing values"]'))
+        .when(shape == 6, F.lit('["Apply SMOTE oversampling"]'))
+        .when(shape == 7, F.lit('["Use class weight balancing"]'))
+        .when(shape == 8, F.lit('["Remove surnamed totals"]'))
+        .otherwise(F.lit('["Impute missing values", "Scale numeric features"]'))
+    )
+    models = F.when(shape == 2, F.concat(F.lit('"'), m1, F.lit('"'))).otherwise(F.concat(F.lit('["'), m1, F.lit('", "'), m2, F.lit('"]')))
+    cands = F.when(shape == 9, F.lit('[], "protected_attributes": ["gender"]')).otherwise(F.lit('["gender", "region"]'))
+    reasoning = F.when(shape == 3, F.lit("")).otherwise(F.concat(F.lit(', "reasoning": "plan '), pid.cast("string"), F.lit('"')))
+    body = F.concat(
+        F.lit('{"data_quality_concerns": ["High null rate in priority"], "recommended_preprocessing_steps": '), steps,
+        F.lit(', "recommended_models": '), models,
+        F.lit(', "sensitive_attribute_candidates": '), cands, reasoning, F.lit("}"),
+    )
+    raw = (
+        F.when(shape == 1, F.concat(F.lit("  ```json\n"), body, F.lit("\n```  ")))
+        .when(shape == 4, F.concat(F.lit('{"data_quality_concerns": ["x"], "recommended_models": ["'), m1, F.lit('"')))
+        .otherwise(body)
+    )
+    return ev.select("plan_id", "run_id", raw.alias("raw"))

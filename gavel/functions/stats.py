@@ -55,6 +55,18 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, ran
     return df.orderBy(*order).limit(k).withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
 
 
+def _pinned(ranged: DataFrame) -> DataFrame:
+    """Materialise range-partition ids once. The ranged frame feeds two
+    branches (partition totals and the in-partition ranks); re-running the
+    range partitioning per branch may sample different bounds, so the ids
+    are pinned by a reliable checkpoint in the shared checkpoint folder
+    (which also cuts the lineage and survives executor loss)."""
+    from gavel.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(ranged.sparkSession)
+    return ranged.checkpoint(eager=True)
+
+
 def _lerp(lo: Column, hi: Column, t: Column) -> Column:
     """numpy's linear interpolation (the form used for quantiles)."""
     d = hi - lo
@@ -70,7 +82,7 @@ def exact_quantiles(vc: DataFrame, probs: Sequence[float], partitions: int | Non
     spark = vc.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = vc.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranged = vals.repartitionByRange(parts, "column_name", "value").withColumn("pid", F.spark_partition_id())
+    ranged = _pinned(vals.repartitionByRange(parts, "column_name", "value").withColumn("pid", F.spark_partition_id()))
 
     # at most (partitions x columns) rows: offsets of each range partition
     pstats = ranged.groupBy("column_name", "pid").agg(F.sum("n").alias("cnt"))
@@ -120,3 +132,24 @@ def exact_quantiles(vc: DataFrame, probs: Sequence[float], partitions: int | Non
         F.max(F.when(hit_hi, F.col("r.value"))).alias("v_hi"),
     )
     return picked.select("column_name", "prob_idx", "prob", _lerp(F.col("v_lo"), F.col("v_hi"), F.col("frac")).alias("value"))
+
+
+def weight_before(df: DataFrame, group: str, value: str, weight: str, partitions: int | None = None) -> DataFrame:
+    """Add ``before`` = sum of ``weight`` over rows of the same ``group``
+    with a strictly smaller ``value`` (rows hold distinct (group, value)).
+
+    Distributed prefix sum: range-partition by (group, value), total each
+    range partition (a table of partitions x groups rows), prefix-sum those
+    totals, then a window inside each range partition only."""
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _pinned(df.repartitionByRange(parts, group, value).withColumn("__pid", F.spark_partition_id()))
+    pstats = ranged.groupBy(group, "__pid").agg(F.sum(weight).alias("__cnt"))
+    pstats = pstats.select(
+        group, "__pid",
+        (F.sum("__cnt").over(Window.partitionBy(group).orderBy("__pid")) - F.col("__cnt")).alias("__off"),
+    )
+    within = Window.partitionBy(group, "__pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("__cum", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    out = out.join(F.broadcast(pstats), [group, "__pid"])
+    return out.withColumn("before", F.col("__off") + F.col("__cum")).drop("__pid", "__off", "__cum")

@@ -76,14 +76,14 @@ lm AS (
               OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_model
   FROM eff),
 rj AS (SELECT run_id, last_model AS model, min(seq) AS fs FROM lm
-       WHERE event_type = 'human_decision' AND decision = 'reject_model_or_fairness' AND last_model IS NOT NULL
+       WHERE review_route = 'reroute_training' AND last_model IS NOT NULL
        GROUP BY run_id, last_model),
 rjl AS (SELECT run_id, string_agg(model, ', ' ORDER BY fs) AS rejected_models FROM rj GROUP BY run_id),
 st0 AS (
   SELECT run_id, count(*) AS n_events, count_if(is_failed) AS failed_checks, count_if(is_rej) AS rejections,
          arg_max(decision, CASE WHEN event_type = 'human_decision' THEN seq END) AS last_decision,
-         arg_max(CASE WHEN is_failed THEN 'data_agent' WHEN event_type = 'human_decision' AND decision = 'reject_data_quality' THEN 'human_reviewer' END,
-                 CASE WHEN is_failed OR (event_type = 'human_decision' AND decision = 'reject_data_quality') THEN seq END) AS last_failure_source,
+         arg_max(CASE WHEN cleaning_route = 'planner_node' THEN 'data_agent' WHEN review_route = 'reroute_planner' THEN 'human_reviewer' END,
+                 CASE WHEN cleaning_route = 'planner_node' OR review_route = 'reroute_planner' THEN seq END) AS last_failure_source,
          arg_max(outcome, CASE WHEN outcome IS NOT NULL THEN seq END) AS final_outcome,
          max(CASE WHEN outcome IS NOT NULL THEN seq END) AS terminal_seq,
          arg_max(event_type, seq) AS last_event_type,

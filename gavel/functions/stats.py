@@ -73,12 +73,48 @@ def _lerp(lo: Column, hi: Column, t: Column) -> Column:
     return F.when(t >= 0.5, hi - d * (F.lit(1.0) - t)).otherwise(lo + d * t)
 
 
-def exact_quantiles(vc: DataFrame, probs: Sequence[float], partitions: int | None = None) -> DataFrame:
+# distinct values per column that one exact ``percentile`` buffer may hold
+PERCENTILE_MAP_LIMIT = 1_000_000
+
+
+def exact_quantiles(vc: DataFrame, probs: Sequence[float], partitions: int | None = None, distinct: dict[str, int] | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics, as
     pandas/numpy compute them) per column of a value-count table.
 
-    Input: (column, value double, n). Output: (column, prob_idx, prob, value).
-    """
+    Input: (column_name, value double, n). Output: (column_name, prob_idx,
+    prob, value). Columns whose distinct-value count is proven below
+    ``PERCENTILE_MAP_LIMIT`` use Spark's exact ``percentile`` with the counts
+    as frequencies (one aggregate; the buffer per column holds at most the
+    limit); the others take the range-partitioned path, whose memory does not
+    depend on the number of distinct values. ``distinct`` may pass upper
+    estimates per column (e.g. from an HLL sketch of an earlier pass)."""
+    vals = vc.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    if distinct is None:
+        distinct = {r["column_name"]: r["count"] for r in vals.groupBy("column_name").count().collect()}
+    small = [c for c, k in distinct.items() if k <= PERCENTILE_MAP_LIMIT]
+    large = [c for c, k in distinct.items() if k > PERCENTILE_MAP_LIMIT]
+    parts = []
+    if small:
+        pct = vals.where(F.col("column_name").isin(small)).groupBy("column_name").agg(
+            F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n")).alias("__q")
+        )
+        prob_arr = F.array(*[F.lit(float(p)) for p in probs])
+        parts.append(pct.select("column_name", F.posexplode("__q").alias("prob_idx", "value")).select(
+            "column_name", F.col("prob_idx").cast("int").alias("prob_idx"), F.element_at(prob_arr, F.col("prob_idx") + 1).alias("prob"), "value"
+        ))
+    if large:
+        parts.append(_quantiles_by_ranges(vals.where(F.col("column_name").isin(large)), probs, partitions))
+    if not parts:
+        return vc.sparkSession.createDataFrame([], "column_name string, prob_idx int, prob double, value double")
+    out = parts[0]
+    for extra in parts[1:]:
+        out = out.unionByName(extra)
+    return out
+
+
+def _quantiles_by_ranges(vc: DataFrame, probs: Sequence[float], partitions: int | None = None) -> DataFrame:
+    """Unbounded path: range partitions of the distinct values, partition
+    totals, prefix sums, ranks inside each range partition."""
     spark = vc.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = vc.where(F.col("value").isNotNull() & ~F.isnan("value"))

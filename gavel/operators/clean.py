@@ -24,12 +24,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavel.functions.exprs import as_text, col, is_flat, is_numeric
-from gavel.functions.stats import exact_quantiles, top_k, value_counts
+from gavel.functions.stats import PERCENTILE_MAP_LIMIT, exact_quantiles, top_k, value_counts
 
 # Thresholds of the cleaning rules and the quality gate.
 COLUMN_DROP_NULL_SHARE = 0.50      # drop a feature when its null share is above
@@ -64,6 +65,12 @@ class CleanFit:
     imbalance_ratio: float | None = None
     smote: bool = False
     class_weight: bool = False
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the persisted value-count tables (after the last transform)."""
+        for d in self.cached:
+            d.unpersist()
 
 
 @dataclass
@@ -88,11 +95,16 @@ def _kind(dt: T.DataType, had_nulls: bool) -> str:
     return "categorical"
 
 
-def null_counts(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, int]]:
-    """Single-row aggregate: total rows and nulls per column."""
-    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+def null_counts(df: DataFrame, cols: list[str], sketch: list[str] = ()) -> tuple[int, dict[str, int], dict[str, int]]:
+    """Single-row aggregate: total rows, nulls per column and HLL distinct
+    estimates of the ``sketch`` columns (bounded-memory sketches)."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)],
+        *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(sketch)],
+    ).first()
     n = int(row["__n"])
-    return n, {c: n - int(row[f"c{i}"]) for i, c in enumerate(cols)}
+    return n, {c: n - int(row[f"c{i}"]) for i, c in enumerate(cols)}, {c: int(row[f"d{i}"]) for i, c in enumerate(sketch)}
 
 
 def drop_columns(df: DataFrame, target: str, explicit: list[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
@@ -166,8 +178,10 @@ def fit(
     fields = {f.name: f.dataType for f in df.schema.fields if is_flat(f.dataType)}
     cols = list(fields)
 
-    # pass 1: raw null counts
-    n, nulls = null_counts(df, cols)
+    # pass 1: raw null counts (+ distinct estimates of numeric columns, which
+    # decide whether an exact percentile buffer is bounded)
+    num_candidates = [c for c in cols if c != target and c not in keys and is_numeric(fields[c])]
+    n, nulls, approx_distinct = null_counts(df, cols, num_candidates)
     dropped = []
     for c in cols:
         if c == target or c in keys:
@@ -185,87 +199,117 @@ def fit(
     rows = df.where(col(target).isNotNull())
     numeric = [c for c, k in kinds.items() if k == "numeric"]
     cats = [c for c, k in kinds.items() if k == "categorical"]
-
-    # pass 2: value counts over the kept rows
-    vc_cat = value_counts(rows, cats, "string", {c: _category_text(c, fields[c]) for c in cats}).persist()
-    vc_num = value_counts(rows, numeric, "double")
     n_kept = n - f.rows_dropped
 
-    num_nulls = {}
+    # pass 2: value counts over the kept rows - every later statistic is a
+    # small job over these (aggregated) tables, not another scan of the data
+    texts = {c: _category_text(c, fields[c]) for c in cats}
+    vc_cols = list(cats)
+    if task == "classification":
+        texts[target] = col(target).cast("string")
+        vc_cols.append(target)
+    vc_cat = value_counts(rows, vc_cols, "string", texts).persist(StorageLevel.MEMORY_AND_DISK)
+    vc_num = value_counts(rows, numeric, "double").persist(StorageLevel.MEMORY_AND_DISK)
+    f.cached = [vc_cat, vc_num]
+
     if numeric:
-        num_nulls = {r["column_name"]: int(r["n"]) for r in vc_num.where(F.col("value").isNull()).collect()}
-        need = [c for c in numeric if num_nulls.get(c, 0) > 0]
-        med = {}
-        if need:
-            q = exact_quantiles(vc_num.where(F.col("column_name").isin(need)), [0.5])
-            med = {r["column_name"]: r["value"] for r in q.collect()}
+        is_val = F.col("value").isNotNull() & ~F.isnan("value")
+        # HLL estimates carry a few % error: keep a 2x margin for the bound
+        bounded = [c for c in numeric if approx_distinct.get(c, 0) * 2 <= PERCENTILE_MAP_LIMIT]
+        st = vc_num.groupBy("column_name").agg(
+            F.sum(F.when(~is_val, F.col("n")).otherwise(0)).alias("nulls"),
+            F.sum(F.when(is_val, F.col("n")).otherwise(0)).alias("cnt"),
+            F.sum(F.when(is_val, F.col("n") * F.col("value"))).alias("s"),
+            F.percentile(F.when(is_val & F.col("column_name").isin(bounded), F.col("value")), F.lit(0.5), F.col("n")).alias("med"),
+        ).collect()
+        st = {r["column_name"]: r for r in st}
+        need = [c for c in numeric if st.get(c) is not None and st[c]["nulls"] > 0]
+        med = {c: st[c]["med"] for c in need if c in bounded}
+        unbounded = [c for c in need if c not in bounded]
+        if unbounded:
+            q = exact_quantiles(vc_num.where(F.col("column_name").isin(unbounded)), [0.5], distinct={c: PERCENTILE_MAP_LIMIT + 1 for c in unbounded})
+            med.update({r["column_name"]: r["value"] for r in q.collect()})
         for c in need:
-            f.impute_numeric[c] = (med.get(c), num_nulls[c])
+            f.impute_numeric[c] = (med.get(c), int(st[c]["nulls"]))
+        # mean and population variance of the imputed column, two-pass over
+        # the value counts (imputed rows sit at the median)
+        means = {}
+        for c in numeric:
+            r = st.get(c)
+            m = med.get(c)
+            filled = r["nulls"] if (r is not None and m is not None) else 0
+            total = (r["cnt"] if r is not None else 0) + filled
+            means[c] = ((r["s"] or 0.0) + filled * (m or 0.0)) / total if total else None
+        mean_col = F.coalesce(*[F.when(F.col("column_name") == c, F.lit(means[c])) for c in numeric if means[c] is not None], F.lit(None).cast("double"))
+        dev = F.col("value") - mean_col
+        vs = vc_num.where(F.col("value").isNotNull()).groupBy("column_name").agg(F.sum(F.col("n") * dev * dev).alias("ss")).collect()
+        ss = {r["column_name"]: r["ss"] for r in vs}
+        for c in numeric:
+            if means[c] is None:
+                f.scale[c] = (None, None)
+                continue
+            r = st[c]
+            m = med.get(c)
+            filled = r["nulls"] if m is not None else 0
+            total = r["cnt"] + filled
+            extra = filled * (m - means[c]) ** 2 if m is not None else 0.0
+            f.scale[c] = (means[c], (((ss.get(c) or 0.0) + extra) / total) ** 0.5)
 
     card: dict[str, int] = {}
     if cats:
-        stats = vc_cat.groupBy("column_name").agg(
+        cat_vc = vc_cat.where(F.col("column_name").isin(cats))
+        stats = cat_vc.groupBy("column_name").agg(
             F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
             F.count("value").alias("card"),
         )
-        modes = _modes(vc_cat)
-        for r in stats.join(modes, "column_name", "left").collect():
+        for r in stats.join(_modes(cat_vc), "column_name", "left").collect():
             c = r["column_name"]
             card[c] = int(r["card"])
             if r["nulls"] > 0:
                 f.impute_mode[c] = (r["mode"], int(r["nulls"]))
-        # vocabularies of one-hot columns: fewer than 10 values each
+        # vocabularies: the first 10 values of each column (complete for the
+        # one-hot columns, which have fewer than 10)
         small = [c for c in cats if card.get(c, 0) < ONE_HOT_CARDINALITY_LIMIT]
         if small:
-            vocab = vc_cat.where(F.col("column_name").isin(small) & F.col("value").isNotNull()).select("column_name", "value").collect()
-            for c in small:
-                f.one_hot[c] = sorted(r["value"] for r in vocab if r["column_name"] == c)
-        for c in cats:
-            if c in f.one_hot:
-                continue
+            vocab = top_k(cat_vc.where(F.col("column_name").isin(small) & F.col("value").isNotNull()), ["column_name"], [F.col("value").asc()], ONE_HOT_CARDINALITY_LIMIT)
+            got: dict[str, list[str]] = {c: [] for c in small}
+            for r in vocab.select("column_name", "value").collect():
+                got[r["column_name"]].append(r["value"])
+            f.one_hot = {c: sorted(got[c]) for c in small}
+        big = [c for c in cats if c not in f.one_hot]
+        for c in big:
             mode, filled = f.impute_mode.get(c, (None, 0))
-            share = vc_cat.where((F.col("column_name") == c) & F.col("value").isNotNull()).select(
-                F.col("value").alias("__v"),
-                ((F.col("n") + F.when(F.col("value") == F.lit(mode), F.lit(filled)).otherwise(0)).cast("double") / F.lit(float(n_kept))).alias("__f"),
-                F.col("n").alias("__n"),
+            w = F.col("n") + F.when(F.col("value") == F.lit(mode), F.lit(filled)).otherwise(0)
+            f.freq[c] = cat_vc.where((F.col("column_name") == c) & F.col("value").isNotNull()).select(
+                F.col("value").alias("__v"), (w.cast("double") / F.lit(float(n_kept))).alias("__f"), w.alias("__n")
             )
-            f.freq[c] = share
             f.freq_card[c] = card[c]
-
-    # label encoding (classification, non-numeric target)
+        if big:
+            # moments of the frequency codes over the rows: weights = rows per value
+            fm = None
+            for c in big:
+                part = f.freq[c].select(F.lit(c).alias("column_name"), "__f", "__n")
+                fm = part if fm is None else fm.unionByName(part)
+            mom = fm.groupBy("column_name").agg(
+                (F.sum(F.col("__n") * F.col("__f")) / F.sum("__n")).alias("m"),
+                (F.sum(F.col("__n") * F.col("__f") * F.col("__f")) / F.sum("__n")).alias("m2"),
+            ).collect()
+            for r in mom:
+                var = max(r["m2"] - r["m"] * r["m"], 0.0)
+                f.scale[r["column_name"]] = (r["m"], var ** 0.5)
+
+    # label encoding and class balance from the target's value counts
     if task == "classification":
-        tdt = fields[target]
-        if not is_numeric(tdt):
-            classes = rows.select(col(target).alias("t")).distinct().limit(MAX_CLASSES + 1).collect()
-            if len(classes) > MAX_CLASSES:
-                raise ValueError(f"more than {MAX_CLASSES} classes in target '{target}'")
-            f.classes = sorted(r["t"] for r in classes)
-        # imbalance note input: class counts of the original target
-        cc = df.where(col(target).isNotNull()).groupBy(col(target)).count().agg(F.max("count").alias("hi"), F.min("count").alias("lo"), F.count(F.lit(1)).alias("k")).first()
-        if cc["k"] and cc["k"] >= 2:
-            f.imbalance_ratio = float(cc["hi"]) / float(cc["lo"])
-
-    # pass 3: scaling statistics
-    scaled = [c for c in kinds if kinds[c] == "numeric"]
-    if scaled:
-        pre = rows.select(*[_imputed(f, c) for c in scaled])
-        exprs = []
-        for i, c in enumerate(scaled):
-            exprs += [F.avg(col(c)).alias(f"m{i}"), F.stddev_pop(col(c)).alias(f"s{i}")]
-        r = pre.agg(*exprs).first()
-        for i, c in enumerate(scaled):
-            f.scale[c] = (r[f"m{i}"], r[f"s{i}"])
-    for c, share in f.freq.items():
-        # imputed rows carry the mode's share: weight by the imputed counts
-        mode, filled = f.impute_mode.get(c, (None, 0))
-        w = F.col("__n") + F.when(F.col("__v") == F.lit(mode), F.lit(filled)).otherwise(0)
-        st = share.agg(
-            (F.sum(w * F.col("__f")) / F.sum(w)).alias("m"),
-        ).first()
-        m = st["m"]
-        var = share.agg((F.sum(w * (F.col("__f") - F.lit(m)) * (F.col("__f") - F.lit(m))) / F.sum(w)).alias("v")).first()["v"]
-        f.scale[c] = (m, (var or 0.0) ** 0.5)
-    vc_cat.unpersist()
+        tvc = vc_cat.where((F.col("column_name") == target) & F.col("value").isNotNull())
+        k = tvc.count()
+        if k > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes in target '{target}'")
+        counts = tvc.select("value", "n").collect()
+        if not is_numeric(fields[target]):
+            f.classes = sorted(r["value"] for r in counts)
+        if len(counts) >= 2:
+            ns = [r["n"] for r in counts]
+            f.imbalance_ratio = float(max(ns)) / float(min(ns))
     return f
 
 

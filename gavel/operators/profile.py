@@ -281,32 +281,35 @@ def target_histogram(df: DataFrame, target: str, bins: int = 10) -> DataFrame:
     one closed, edges as a linear space so that bin membership matches the
     reference histogram exactly. Empty when the rule does not apply.
 
-    min/max enter as scalar subqueries (one row), so binning is a map-side
-    projection and the count a partially aggregated groupBy on <= bins keys."""
+    min / max / distinct count are three scalars of one small job; binning
+    is then a map-side projection and the count a partially aggregated
+    groupBy on at most ``bins`` keys."""
+    spark = df.sparkSession
+    schema = "bin bigint, label string, lo double, hi double, n bigint"
+    if not _target_is_numeric(df, target):
+        return spark.createDataFrame([], schema)
     x = col(target).cast("double")
     vals = df.select(x.alias("v")).where(F.col("v").isNotNull())
-    st = vals.agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    applies = _target_is_numeric(df, target)
-    nd = vals.agg(F.count_distinct("v")).scalar()
-    e0 = st.select(F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn"))).scalar()
-    e1 = st.select(F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))).scalar()
+    st = vals.agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.count_distinct("v").alias("nd")).first()
+    if st["nd"] is None or st["nd"] <= HISTOGRAM_MIN_DISTINCT:
+        return spark.createDataFrame([], schema)
+    mn, mx = float(st["mn"]), float(st["mx"])
+    e0, e1 = (mn - 0.5, mx + 0.5) if mn == mx else (mn, mx)
     step = (e1 - e0) / bins
+    edges = [e0 + i * step for i in range(bins)] + [e1]
 
     def edge(i: Column) -> Column:
-        return F.when(i >= bins, e1).otherwise(e0 + i.cast("double") * step)
+        return F.element_at(F.array(*[F.lit(e) for e in edges]), i.cast("int") + 1)
 
-    b0 = F.least(F.floor((F.col("v") - e0) * (F.lit(float(bins)) / (e1 - e0))).cast("int"), F.lit(bins - 1))
+    b0 = F.least(F.floor((F.col("v") - F.lit(e0)) * F.lit(bins / (e1 - e0))).cast("int"), F.lit(bins - 1))
     binned = vals.select("v", b0.alias("b0"))
     down = F.col("v") < edge(F.col("b0"))
     up = (F.col("v") >= edge(F.col("b0") + 1)) & (F.col("b0") != bins - 1)
     b = (F.col("b0") - down.cast("int") + up.cast("int")).cast("long").alias("bin")
     counts = binned.groupBy(b).agg(F.count(F.lit(1)).alias("n"))
-    grid = df.sparkSession.range(bins).select(F.col("id").alias("bin")).where((nd > HISTOGRAM_MIN_DISTINCT) & F.lit(applies))
-    out = grid.join(counts, "bin", "left").select(
-        "bin",
-        edge(F.col("bin")).alias("lo"),
-        edge(F.col("bin") + 1).alias("hi"),
-        F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"),
+    grid = spark.range(bins).select(F.col("id").alias("bin"))
+    out = grid.join(F.broadcast(counts), "bin", "left").select(
+        "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n")
     )
     return out.select("bin", F.format_string("%.2f - %.2f", "lo", "hi").alias("label"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "n")
 

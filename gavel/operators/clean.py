@@ -178,10 +178,27 @@ def fit(
     fields = {f.name: f.dataType for f in df.schema.fields if is_flat(f.dataType)}
     cols = list(fields)
 
-    # pass 1: raw null counts (+ distinct estimates of numeric columns, which
-    # decide whether an exact percentile buffer is bounded)
+    # pass 1, one single-row aggregate over the raw table: nulls of every
+    # column, and for numeric features over the rows that keep their target
+    # (exactly the rows the row drop keeps): nulls, count, mean, population
+    # variance (Spark's merge-stable moments) and an HLL distinct estimate,
+    # which decides whether an exact percentile buffer is bounded
     num_candidates = [c for c in cols if c != target and c not in keys and is_numeric(fields[c])]
-    n, nulls, approx_distinct = null_counts(df, cols, num_candidates)
+    keep_row = col(target).isNotNull()
+    exprs = [F.count(F.lit(1)).alias("__n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)]]
+    for i, c in enumerate(num_candidates):
+        x = F.when(keep_row, col(c).cast("double"))
+        exprs += [
+            F.count(x).alias(f"kc{i}"),
+            F.avg(x).alias(f"km{i}"),
+            F.var_pop(x).alias(f"kv{i}"),
+            F.approx_count_distinct(x).alias(f"kd{i}"),
+        ]
+    r1 = df.agg(*exprs).first()
+    n = int(r1["__n"])
+    nulls = {c: n - int(r1[f"c{i}"]) for i, c in enumerate(cols)}
+    kstats = {c: (int(r1[f"kc{i}"]), r1[f"km{i}"], r1[f"kv{i}"], int(r1[f"kd{i}"])) for i, c in enumerate(num_candidates)}
+
     dropped = []
     for c in cols:
         if c == target or c in keys:
@@ -196,115 +213,106 @@ def fit(
     kinds = {c: _kind(fields[c], nulls[c] > 0) for c in kept if c != target and c not in keys}
     f = CleanFit(target, task, tuple(keys), n, nulls, dropped, nulls[target], kept, kinds, smote=smote, class_weight=class_weight)
 
-    rows = df.where(col(target).isNotNull())
+    rows = df.where(keep_row)
     numeric = [c for c, k in kinds.items() if k == "numeric"]
     cats = [c for c, k in kinds.items() if k == "categorical"]
     n_kept = n - f.rows_dropped
 
-    # pass 2: value counts over the kept rows - every later statistic is a
-    # small job over these (aggregated) tables, not another scan of the data
+    # numeric features: medians of the columns with gaps (one bounded
+    # percentile aggregate; unbounded columns take the ranged path), then
+    # mean and variance of the imputed column by the parallel-moments rule
+    need = [c for c in numeric if kstats[c][0] < n_kept]
+    med: dict[str, float | None] = {}
+    bounded = [c for c in need if kstats[c][3] * 2 <= PERCENTILE_MAP_LIMIT]
+    if bounded:
+        r = rows.agg(*[F.percentile(col(c).cast("double"), F.lit(0.5)).alias(f"p{i}") for i, c in enumerate(bounded)]).first()
+        med.update({c: r[f"p{i}"] for i, c in enumerate(bounded)})
+    unbounded = [c for c in need if c not in bounded]
+    if unbounded:
+        vc_num = value_counts(rows, unbounded, "double")
+        q = exact_quantiles(vc_num, [0.5], distinct={c: PERCENTILE_MAP_LIMIT + 1 for c in unbounded})
+        med.update({r["column_name"]: r["value"] for r in q.collect()})
+    for c in numeric:
+        cnt, mean, var, _d = kstats[c]
+        k = n_kept - cnt
+        m = med.get(c)
+        if k > 0:
+            f.impute_numeric[c] = (m, k)
+        if cnt == 0:
+            f.scale[c] = (None, None)
+            continue
+        if k > 0 and m is not None:
+            tot = cnt + k
+            mi = (cnt * mean + k * m) / tot
+            vi = (cnt * (var or 0.0) + cnt * (mean - mi) ** 2 + k * (m - mi) ** 2) / tot
+            f.scale[c] = (mi, max(vi, 0.0) ** 0.5)
+        else:
+            f.scale[c] = (mean, max(var or 0.0, 0.0) ** 0.5)
+
+    # pass 2: value counts of the categorical features (and of the target,
+    # for classes and class balance) over the kept rows
     texts = {c: _category_text(c, fields[c]) for c in cats}
     vc_cols = list(cats)
     if task == "classification":
         texts[target] = col(target).cast("string")
         vc_cols.append(target)
     vc_cat = value_counts(rows, vc_cols, "string", texts).persist(StorageLevel.MEMORY_AND_DISK)
-    vc_num = value_counts(rows, numeric, "double").persist(StorageLevel.MEMORY_AND_DISK)
-    f.cached = [vc_cat, vc_num]
-
-    if numeric:
-        is_val = F.col("value").isNotNull() & ~F.isnan("value")
-        # HLL estimates carry a few % error: keep a 2x margin for the bound
-        bounded = [c for c in numeric if approx_distinct.get(c, 0) * 2 <= PERCENTILE_MAP_LIMIT]
-        st = vc_num.groupBy("column_name").agg(
-            F.sum(F.when(~is_val, F.col("n")).otherwise(0)).alias("nulls"),
-            F.sum(F.when(is_val, F.col("n")).otherwise(0)).alias("cnt"),
-            F.sum(F.when(is_val, F.col("n") * F.col("value"))).alias("s"),
-            F.percentile(F.when(is_val & F.col("column_name").isin(bounded), F.col("value")), F.lit(0.5), F.col("n")).alias("med"),
-        ).collect()
-        st = {r["column_name"]: r for r in st}
-        need = [c for c in numeric if st.get(c) is not None and st[c]["nulls"] > 0]
-        med = {c: st[c]["med"] for c in need if c in bounded}
-        unbounded = [c for c in need if c not in bounded]
-        if unbounded:
-            q = exact_quantiles(vc_num.where(F.col("column_name").isin(unbounded)), [0.5], distinct={c: PERCENTILE_MAP_LIMIT + 1 for c in unbounded})
-            med.update({r["column_name"]: r["value"] for r in q.collect()})
-        for c in need:
-            f.impute_numeric[c] = (med.get(c), int(st[c]["nulls"]))
-        # mean and population variance of the imputed column, two-pass over
-        # the value counts (imputed rows sit at the median)
-        means = {}
-        for c in numeric:
-            r = st.get(c)
-            m = med.get(c)
-            filled = r["nulls"] if (r is not None and m is not None) else 0
-            total = (r["cnt"] if r is not None else 0) + filled
-            means[c] = ((r["s"] or 0.0) + filled * (m or 0.0)) / total if total else None
-        mean_col = F.coalesce(*[F.when(F.col("column_name") == c, F.lit(means[c])) for c in numeric if means[c] is not None], F.lit(None).cast("double"))
-        dev = F.col("value") - mean_col
-        vs = vc_num.where(F.col("value").isNotNull()).groupBy("column_name").agg(F.sum(F.col("n") * dev * dev).alias("ss")).collect()
-        ss = {r["column_name"]: r["ss"] for r in vs}
-        for c in numeric:
-            if means[c] is None:
-                f.scale[c] = (None, None)
-                continue
-            r = st[c]
-            m = med.get(c)
-            filled = r["nulls"] if m is not None else 0
-            total = r["cnt"] + filled
-            extra = filled * (m - means[c]) ** 2 if m is not None else 0.0
-            f.scale[c] = (means[c], (((ss.get(c) or 0.0) + extra) / total) ** 0.5)
+    f.cached = [vc_cat]
 
     card: dict[str, int] = {}
     if cats:
         cat_vc = vc_cat.where(F.col("column_name").isin(cats))
+        val = F.col("value").isNotNull()
+        nd = F.col("n").cast("double")
+        # one aggregate: nulls, cardinality, mode (largest count, smallest
+        # value: a bounded min_by) and the power sums that give the moments
+        # of the frequency codes once the imputed rows join the mode
         stats = cat_vc.groupBy("column_name").agg(
-            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
+            F.sum(F.when(~val, F.col("n")).otherwise(0)).alias("nulls"),
             F.count("value").alias("card"),
-        )
-        for r in stats.join(_modes(cat_vc), "column_name", "left").collect():
+            F.min_by(F.col("value"), F.when(val, F.struct((-F.col("n")).alias("neg_n"), F.col("value")))).alias("mode"),
+            F.max(F.when(val, F.col("n"))).alias("nmax"),
+            F.sum(F.when(val, nd * nd)).alias("s2"),
+            F.sum(F.when(val, nd * nd * nd)).alias("s3"),
+        ).collect()
+        moments = {}
+        for r in stats:
             c = r["column_name"]
             card[c] = int(r["card"])
             if r["nulls"] > 0:
                 f.impute_mode[c] = (r["mode"], int(r["nulls"]))
-        # vocabularies: the first 10 values of each column (complete for the
-        # one-hot columns, which have fewer than 10)
+            moments[c] = r
         small = [c for c in cats if card.get(c, 0) < ONE_HOT_CARDINALITY_LIMIT]
         if small:
-            vocab = top_k(cat_vc.where(F.col("column_name").isin(small) & F.col("value").isNotNull()), ["column_name"], [F.col("value").asc()], ONE_HOT_CARDINALITY_LIMIT)
+            # vocabularies: the first 10 values of each column (complete for
+            # the one-hot columns, which have fewer than 10)
+            vocab = top_k(cat_vc.where(F.col("column_name").isin(small) & val), ["column_name"], [F.col("value").asc()], ONE_HOT_CARDINALITY_LIMIT)
             got: dict[str, list[str]] = {c: [] for c in small}
             for r in vocab.select("column_name", "value").collect():
                 got[r["column_name"]].append(r["value"])
             f.one_hot = {c: sorted(got[c]) for c in small}
-        big = [c for c in cats if c not in f.one_hot]
-        for c in big:
+        for c in cats:
+            if c in f.one_hot:
+                continue
             mode, filled = f.impute_mode.get(c, (None, 0))
             w = F.col("n") + F.when(F.col("value") == F.lit(mode), F.lit(filled)).otherwise(0)
-            f.freq[c] = cat_vc.where((F.col("column_name") == c) & F.col("value").isNotNull()).select(
+            f.freq[c] = cat_vc.where((F.col("column_name") == c) & val).select(
                 F.col("value").alias("__v"), (w.cast("double") / F.lit(float(n_kept))).alias("__f"), w.alias("__n")
             )
             f.freq_card[c] = card[c]
-        if big:
-            # moments of the frequency codes over the rows: weights = rows per value
-            fm = None
-            for c in big:
-                part = f.freq[c].select(F.lit(c).alias("column_name"), "__f", "__n")
-                fm = part if fm is None else fm.unionByName(part)
-            mom = fm.groupBy("column_name").agg(
-                (F.sum(F.col("__n") * F.col("__f")) / F.sum("__n")).alias("m"),
-                (F.sum(F.col("__n") * F.col("__f") * F.col("__f")) / F.sum("__n")).alias("m2"),
-            ).collect()
-            for r in mom:
-                var = max(r["m2"] - r["m"] * r["m"], 0.0)
-                f.scale[r["column_name"]] = (r["m"], var ** 0.5)
+            r = moments[c]
+            nmax, k, N = float(r["nmax"] or 0.0), float(filled if mode is not None else 0), float(n_kept)
+            s2 = (r["s2"] or 0.0) - nmax * nmax + (nmax + k) ** 2
+            s3 = (r["s3"] or 0.0) - nmax ** 3 + (nmax + k) ** 3
+            mean_f = s2 / (N * N) if N else None
+            var_f = max(s3 / N ** 3 - mean_f * mean_f, 0.0) if N else None
+            f.scale[c] = (mean_f, var_f ** 0.5 if var_f is not None else None)
 
     # label encoding and class balance from the target's value counts
     if task == "classification":
-        tvc = vc_cat.where((F.col("column_name") == target) & F.col("value").isNotNull())
-        k = tvc.count()
-        if k > MAX_CLASSES:
+        counts = vc_cat.where((F.col("column_name") == target) & F.col("value").isNotNull()).select("value", "n").limit(MAX_CLASSES + 1).collect()
+        if len(counts) > MAX_CLASSES:
             raise ValueError(f"more than {MAX_CLASSES} classes in target '{target}'")
-        counts = tvc.select("value", "n").collect()
         if not is_numeric(fields[target]):
             f.classes = sorted(r["value"] for r in counts)
         if len(counts) >= 2:

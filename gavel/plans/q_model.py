@@ -29,10 +29,16 @@ def _fresh(spark, *parts: str) -> str:
 
 
 def cleaned_split(spark, sf, task: str = "classification", variant: str = "gov_clean"):
-    """Cleaned table with the hash split flag and the prepared model frame."""
+    """Cleaned table (stored as a stage table and read back: later passes -
+    fit, predictions, audit - scan it instead of re-running the cleaning
+    projection, and its lineage is cut) with the hash split flag, and the
+    prepared model frame."""
     target = "income" if task == "classification" else "total"
     res = C.run(fx.gov_variant(spark, sf, variant), target, task, keys=KEYS)
-    cleaned = TR.with_split(res.cleaned, "order_id")
+    root = _fresh(spark, "stages")
+    io.save_stage(res.cleaned, root, "run", "cleaned")
+    res.fit.release()
+    cleaned = TR.with_split(io.load_stage(spark, root, "run", "cleaned"), "order_id")
     prepared = TR.prepare(cleaned, target, KEYS, task)
     feats = TR.feature_columns(cleaned, target, KEYS)
     return res, cleaned, prepared, feats

@@ -170,13 +170,26 @@ def _quantiles_by_ranges(vc: DataFrame, probs: Sequence[float], partitions: int
     return picked.select("column_name", "prob_idx", "prob", _lerp(F.col("v_lo"), F.col("v_hi"), F.col("frac")).alias("value"))
 
 
-def weight_before(df: DataFrame, group: str, value: str, weight: str, partitions: int | None = None) -> DataFrame:
+# rows per group that one window task may hold in the bounded path
+WINDOW_GROUP_LIMIT = 1_000_000
+
+
+def weight_before(df: DataFrame, group: str, value: str, weight: str, partitions: int | None = None, bounded: bool | None = None) -> DataFrame:
     """Add ``before`` = sum of ``weight`` over rows of the same ``group``
     with a strictly smaller ``value`` (rows hold distinct (group, value)).
 
-    Distributed prefix sum: range-partition by (group, value), total each
-    range partition (a table of partitions x groups rows), prefix-sum those
-    totals, then a window inside each range partition only."""
+    When every group is proven to hold at most ``WINDOW_GROUP_LIMIT`` rows
+    (one small count job, unless ``bounded`` is given) a window per group
+    does it. Otherwise a distributed prefix sum: range-partition by (group,
+    value), total each range partition (a table of partitions x groups
+    rows), prefix-sum those totals, then a window inside each range
+    partition only."""
+    if bounded is None:
+        biggest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        bounded = biggest <= WINDOW_GROUP_LIMIT
+    if bounded:
+        w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("before", F.coalesce(F.sum(weight).over(w), F.lit(0)))
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = _pinned(df.repartitionByRange(parts, group, value).withColumn("__pid", F.spark_partition_id()))

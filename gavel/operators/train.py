@@ -3,8 +3,9 @@
 Splits are deterministic hash splits (no sampling, no shuffle): a row is in
 the test side when ``md5('<seed>|' || key)`` is below the 20 % point of the
 hash space. The stratified variant takes, per class, the ``ceil(0.2 n_c)``
-rows with the smallest hash; ranks come from a range-partitioned prefix sum,
-not from a window over a (possibly huge) class.
+rows with the smallest hash; ranks come from ``weight_before`` - a window per
+class only when every class is proven small, a range-partitioned prefix sum
+otherwise (never a window over a huge class).
 
 Model mapping (regularisation as in the reference's estimators):
 logistic C=1 -> regParam 1/n, no standardisation; random forest 100 trees;
@@ -15,16 +16,13 @@ alpha*std_pop(y)/n with the normal solver; lasso alpha 0.1 -> regParam 0.1.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gavel.functions.exprs import col
 from gavel.functions.stats import weight_before
@@ -86,17 +84,11 @@ def prepare(df: DataFrame, target: str, keys: tuple[str, ...], task: str, classe
     return VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep").transform(out)
 
 
-@dataclass
-class Fitted:
-    name: str
-    model: PipelineModel | object
-    features: list[str]
-
-
 def estimator(impl: str, task: str, n_train: int, n_classes: int = 2, y_std: float | None = None):
     if task == "classification":
         if impl == "logistic":
-            return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, family="auto")
+            # tol 1e-4: the convergence tolerance of the reference estimator
+            return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, family="auto", tol=1e-4)
         if impl == "random_forest":
             return RandomForestClassifier(numTrees=100, seed=SEED, maxDepth=10)
         if impl in ("gbt_deep", "gbt_shallow"):
@@ -138,5 +130,3 @@ def as_pipeline(model, assembler_cols: list[str]) -> PipelineModel:
     asm = VectorAssembler(inputCols=assembler_cols, outputCol="features", handleInvalid="keep")
     return PipelineModel(stages=[asm, model])
 
-
-_ = (Pipeline, T)

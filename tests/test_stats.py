@@ -26,7 +26,9 @@ def test_exact_quantiles_both_paths_match_numpy(spark):
 def test_weight_before_matches_window(spark):
     rows = [(g, float(v), int(w)) for g in ("x", "y") for v, w in zip(range(40), [1, 3, 2, 5] * 10)]
     df = spark.createDataFrame(rows, "g string, v double, w long")
-    got = {(r["g"], r["v"]): r["before"] for r in stats.weight_before(df, "g", "v", "w", partitions=5).collect()}
+    got = {(r["g"], r["v"]): r["before"] for r in stats.weight_before(df, "g", "v", "w", partitions=5, bounded=False).collect()}
+    got_b = {(r["g"], r["v"]): r["before"] for r in stats.weight_before(df, "g", "v", "w").collect()}
+    assert got == got_b
     w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     want = {(r["g"], r["v"]): r["b"] for r in df.select("g", "v", F.coalesce(F.sum("w").over(w), F.lit(0)).alias("b")).collect()}
     assert got == want

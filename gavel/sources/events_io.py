@@ -25,6 +25,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def new_events(spark: SparkSession, rows: list[tuple], ts=None) -> DataFrame:
     """Events from driver-side values (one row per call of the workflow): the
-    timestamp is the current UTC time unless given."""
+    timestamp is the current UTC wall-clock time (naive) unless given."""
     df = spark.createDataFrame(rows, "run_id string, seq long, event_type string, event_source string, summary string, details string")
-    return df.withColumn("ts", F.current_timestamp() if ts is None else F.lit(ts).cast("timestamp")).select(*EVENT_COLUMNS)
+    now_utc = F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    return df.withColumn("ts", now_utc if ts is None else F.lit(ts).cast("timestamp_ntz")).select(*EVENT_COLUMNS)

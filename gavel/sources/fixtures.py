@@ -173,7 +173,9 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = e.select(
         F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"),
         F.col("event_id").alias("seq"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        # naive (wall-clock) time as stored: formatting and ordering do not
+        # depend on the session time zone
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
         etype.alias("event_type"),
     )
     seq, et = F.col("seq"), F.col("event_type")

@@ -78,6 +78,10 @@ def main(argv):
     from gavel.session import local_session
 
     spark = local_session()
+    import os
+
+    if os.environ.get("CHECK_TZ"):  # run with a non-UTC session time zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
     con = duck(sf_dir)
     failed = 0
     for name, fn in QUERIES.items():

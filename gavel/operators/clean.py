@@ -8,13 +8,17 @@ quality report and gate (AGG-14/15).
 Execution: a fit of few aggregate jobs whose results are small per-column
 parameters (like Spark ML estimators), then one lazy projection.
 
-* pass 1, raw table: null counts of every column (one single-row aggregate);
-* pass 2, kept rows/columns: the value-count tables (one unpivot + groupBy)
-  give nulls left after the row drop, exact medians, modes, cardinalities,
-  one-hot vocabularies and frequency maps;
-* pass 3: mean / population std of the imputed numeric features (map-side
-  projection + single-row aggregate); frequency-encoded features get theirs
-  from the value counts without touching the rows.
+* pass 1, raw table, one single-row aggregate: nulls of every column; for
+  numeric features over the rows that keep their target: count, mean,
+  population variance (merge-stable moments) and an HLL distinct estimate;
+* medians of numeric features with gaps: one exact ``percentile``
+  aggregate when the distinct estimate bounds its buffer, the ranged
+  quantile path otherwise; the imputed column's mean and variance follow by
+  the parallel-moments rule;
+* pass 2, kept rows: the categorical value-count table (persisted): one
+  aggregate gives nulls, cardinality, the mode (a bounded ``min_by``) and the
+  power sums that give the moments of the frequency codes; one top-k job the
+  one-hot vocabularies; the target's counts give classes and class balance.
 
 Frequency maps stay DataFrames and are joined back: broadcast only when the
 fitted cardinality proves them small, a shuffle join (AQE skew-split) beyond.

@@ -32,7 +32,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.llm import common
@@ -147,7 +147,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, "id long, n_shingles long, name binary, sig binary")
 
 
-def least_agreeing(threshold: float, total: int, batch: int = 32) -> list[tuple[int, int]]:
+def least_agreeing(threshold: float, total: int, batch: int) -> list[tuple[int, int]]:
     """(n, m): after n minhashes a pair goes on if at least m agree. With a
     uniform prior, P(s >= t | m of n) = P(Bin(n + 1, t) <= m)."""
     out = []
@@ -160,11 +160,11 @@ def least_agreeing(threshold: float, total: int, batch: int = 32) -> list[tuple[
     return out
 
 
-def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, total: int) -> DataFrame:
     """Pairs (a, b) whose signatures leave a similarity of threshold possible."""
     left = sigs.select(F.col("name").alias("a"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("name").alias("b"), F.col("sig").alias("sb"))
-    steps = least_agreeing(threshold, BANDS * ROWS)
+    steps = least_agreeing(threshold, total, min(32, total))
 
     def run(batches):
         for batch in batches:
@@ -183,8 +183,8 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """name, n, shingles (sorted 64-bit hashes as bytes) of the wanted (rep, name)."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    src = src.select(hashed_words("t").alias("w"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    src = src.join(wanted.select(F.col("rep")).distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select(hashed_words("t").alias("w"))
 
     def run(batches):
         for batch in batches:
@@ -196,7 +196,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                     names = set_names(h, np.concatenate([[0], np.cumsum(np.diff(cut)[some])]))
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names], pa.binary()), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["name", "shingles"])
 
-    return src.mapInArrow(run, "name binary, shingles binary").dropDuplicates(["name"])
+    return src.mapInArrow(run, "name binary, shingles binary").join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -237,22 +237,21 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(got)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """id, n_shingles, component_id, kept of every row."""
-    rows = staged(sketch(docs, id_col, text_col), "sketches")
-    classes = staged(rows.filter("name is not null").groupBy("name").agg(F.min("id").alias("rep")), "classes")
-    sigs = staged(rows.filter("name is not null").select("name", "sig", "id").join(classes.withColumnRenamed("name", "cname"), (F.col("name") == F.col("cname")) & F.col("id").eqNullSafe(F.col("rep"))).select("name", "rep", "sig").dropDuplicates(["name"]), "signatures")
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, 4 * ROWS)))).alias("band", "key")
-    member = sigs.select("name", band).select("name", "key")
+def connect(sigs: DataFrame, sets_of, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(name, comp) of the classes linked to others, from ``sigs`` (name, rep,
+    sig). ``sets_of(wanted)`` gives (name, shingles) of wanted (name, rep)."""
+    total = bands * rows
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * rows) + 1, 4 * rows)))).alias("key")
+    member = sigs.select("name", band)
     buckets = staged(member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("name").alias("centre")).filter("size > 1"), "buckets")
     member = staged(member.join(buckets, "key"), "bucket-members")  # classes alone in their buckets are gone
     few = member.filter(F.col("size") <= SMALL)
     close = few.select("key", F.col("name").alias("a")).join(few.select("key", F.col("name").alias("b")), "key").filter("a < b").select("a", "b")
     many = member.filter(F.col("size") > SMALL)
     star = many.filter("centre < name").select(F.col("centre").alias("a"), F.col("name").alias("b"))
-    found = staged(_pruned(close.union(star).distinct(), sigs, percent / 100), "candidates")
+    found = staged(_pruned(close.union(star).distinct(), sigs, percent / 100, total), "candidates")
     wanted = found.select(F.col("a").alias("name")).union(found.select(F.col("b").alias("name"))).union(many.select("name")).distinct()
-    sets = staged(_sets(docs, sigs.join(wanted, "name", "left_semi"), id_col, text_col), "sets")
+    sets = staged(sets_of(sigs.select("name", "rep").join(wanted, "name", "left_semi")), "sets")
     links = staged(_verified(found, sets, percent), "links")
     comp = components(links)
     many, centres, used = many.select("key", "name"), 1, 1
@@ -263,23 +262,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = staged(labelled.join(split.select("key", "size"), "key"), "open-buckets")
         size = open_.agg(F.max("size")).first()[0]
         if not size or used >= size:
-            break
+            return comp
         centres *= 2
-        # the next centres of a bucket, in name order (a top-k per key)
-        from pyspark.sql import Window
-
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("name"))
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("name"))  # a top-k of each bucket
         heads = open_.select("key", "name", "comp", nth.alias("nth")).filter(F.col("nth") <= used + centres).filter(F.col("nth") > used)
         used += centres
         heads = heads.select("key", F.col("name").alias("c"), F.col("comp").alias("cc"))
         fresh = open_.join(heads, "key").filter("comp != cc").select(F.least("name", "c").alias("a"), F.greatest("name", "c").alias("b")).distinct()
-        more = staged(_verified(_pruned(fresh, sigs, percent / 100), sets, percent), "links")
-        if more.isEmpty():
-            many = open_.select("key", "name")
-            continue
-        links = staged(links.union(more), "links")
-        comp = components(links)
+        more = staged(_verified(_pruned(fresh, sigs, percent / 100, total), sets, percent), "links")
         many = open_.select("key", "name")
+        if not more.isEmpty():
+            links = staged(links.union(more), "links")
+            comp = components(links)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """id, n_shingles, component_id, kept of every row."""
+    rows = staged(sketch(docs, id_col, text_col), "sketches")
+    some = rows.filter("name is not null")
+    classes = staged(some.groupBy("name").agg(F.min("id").alias("rep")), "classes")
+    first = some.select("name", "sig", "id").join(classes.withColumnRenamed("name", "cname"), (F.col("name") == F.col("cname")) & F.col("id").eqNullSafe(F.col("rep")))
+    sigs = staged(first.select("name", "rep", "sig").dropDuplicates(["name"]), "signatures")
+    comp = connect(sigs, lambda wanted: _sets(docs, wanted, id_col, text_col), percent)
     whole = classes.join(comp, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
     best = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = whole.select("name", "comp").join(best, "comp").select("name", "component_id")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import byte_bpe, exact_dedup, fingerprints, language_id, mixing, near_dedup, token_files, toxicity
+from gavel.llm import byte_bpe, chat, exact_dedup, fingerprints, language_id, mixing, near_dedup, substring_dedup, token_files, toxicity
 from gavel.llm.common import id_crc, read_table
 
 #: Names of the public vocabulary files; their folder is the tokenizers package's.
@@ -54,6 +54,14 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(read_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read_table(spark, sf_dir, "conversations"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_path(spark)
     token_files.write(read_table(spark, sf_dir, "documents"), path, vocabulary(WORD_TOKENIZER), END_ID)
@@ -64,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_language_id, op4_byte_bpe, op5_mixing, op6_fingerprints, op9_token_files, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_language_id, op4_byte_bpe, op5_mixing, op6_fingerprints, op7_substring_dedup, op8_chat_format, op9_token_files, op10_toxicity)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -83,6 +91,16 @@ link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id""",
+    "op8_chat_format": """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT conv_id, row_number() OVER w AS pos, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS said,
+      count(*) OVER (PARTITION BY conv_id) AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+full_ AS (SELECT conv_id, n, md5(said) AS h FROM n WHERE pos = n),
+inner_ AS (SELECT DISTINCT md5(said) AS h FROM n WHERE pos < n),
+kept AS (SELECT min(conv_id) AS conv_id, n FROM full_ WHERE h NOT IN (SELECT h FROM inner_) GROUP BY h, n)
+SELECT k.conv_id, greatest(coalesce(turn // 4096, -1), 0)::BIGINT AS piece, k.n AS n_turns,
+       string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text
+FROM kept k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL""",
     "op5_mixing": """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
       ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key FROM documents),

@@ -3,7 +3,7 @@ shared folder by Spark and read back."""
 
 from __future__ import annotations
 
-import itertools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +16,8 @@ from gavel.session import shared_path
 from gavel.sources import fixtures as fx
 from gavel.sources import io
 
-_counter = itertools.count()
-
-
 def _fresh(spark, *parts: str) -> str:
-    return shared_path(spark, *parts, f"q{next(_counter)}-{spark.sparkContext.applicationId}")
+    return shared_path(spark, *parts, uuid.uuid4().hex)
 
 
 def _as_gov_types(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -37,21 +34,63 @@ def src_csv_roundtrip(spark, sf):
     return _as_gov_types(back, g)
 
 
+# Texts that a careless reader changes: quotes, separators, missing markers.
+_ODD_SQL = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'say "' || source || '", ok' WHEN 1 THEN source || ', ' || lang
+       WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN '"' ELSE source END AS name,
+       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END AS size,
+       CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS even FROM documents"""
+
+
 @query(
     "src_csv_inferred_types",
-    """SELECT * FROM (VALUES ('order_id', 'int'), ('segment', 'string'), ('gender', 'string'), ('region', 'string'),
-  ('nation', 'string'), ('priority', 'string'), ('balance', 'double'), ('total', 'double'), ('fee', 'double'),
-  ('order_year', 'int'), ('express', 'boolean'), ('income', 'string')) t(column_name, inferred_type)""",
+    f"""WITH odd AS ({_ODD_SQL})
+SELECT * FROM (SELECT 'doc_id' AS column_name, CASE WHEN max(doc_id) < 2147483648 THEN 'int' ELSE 'bigint' END AS inferred_type FROM odd
+UNION ALL SELECT 'name', CASE WHEN count(try_cast(name AS DOUBLE)) < count(name) THEN 'string' END FROM odd
+UNION ALL SELECT 'size', CASE WHEN max(size) < 2147483648 THEN 'int' ELSE 'bigint' END FROM odd
+UNION ALL SELECT 'even', CASE WHEN count(even) > 0 THEN 'boolean' END FROM odd)""",
 )
 def src_csv_inferred_types(spark, sf):
-    """SRC-1 type inference of the written gov table."""
-    g = fx.gov(spark, sf)
-    path = _fresh(spark, "csv", "gov_types") + ".csv"
-    io.write_csv(g, path)
-    back = io.read_table(spark, path)
+    """SRC-1 type inference in spite of missing-value texts."""
+    back = io.read_table(spark, _odd_csv(spark, sf))
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in back.schema.fields], "column_name string, inferred_type string")
 
 
+def _odd_csv(spark, sf) -> str:
+    """A CSV of doubled quotes, separators in fields and missing-value texts,
+    written as plain lines (no CSV writer takes part)."""
+    d = fx.read(spark, sf, "documents")
+    k = F.col("doc_id")
+    name = (
+        F.when(k % 6 == 0, F.concat(F.lit('"say ""'), "source", F.lit('"", ok"')))
+        .when(k % 6 == 1, F.concat(F.lit('"'), "source", F.lit(", "), "lang", F.lit('"')))
+        .when(k % 6 == 2, F.lit("NA")).when(k % 6 == 3, F.lit("")).when(k % 6 == 4, F.lit('""""')).otherwise(F.col("source"))
+    )
+    size = F.when(k % 5 == 0, F.lit("n/a")).otherwise(F.col("n_chars").cast("string"))
+    even = F.when(k % 7 == 0, F.lit("None")).when(k % 2 == 0, F.lit("True")).otherwise(F.lit("false"))
+    lines = d.select(F.concat_ws(",", k.cast("string"), name, size, even).alias("value"))
+    path = _fresh(spark, "csv") + ".csv"
+    # every file starts with the header, as a CSV folder has it
+    head = lines.mapInArrow(_with_header, "value string")
+    head.write.text(path)
+    return path
+
+
+def _with_header(batches):
+    import pyarrow as pa
+
+    for i, batch in enumerate(batches):
+        if not i:
+            yield pa.RecordBatch.from_arrays([pa.array(["doc_id,name,size,even"], batch.schema.field(0).type)], schema=batch.schema)
+        yield batch
+
+
+@query("src_csv_quoting", f"SELECT doc_id, name, size, coalesce(CAST(even AS VARCHAR), 'missing') AS even FROM ({_ODD_SQL})")
+def src_csv_quoting(spark, sf):
+    """SRC-1 reading: quoting and missing-value texts, value by value."""
+    back = io.read_table(spark, _odd_csv(spark, sf))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "name", F.col("size").cast("long").alias("size"), F.coalesce(F.col("even").cast("string"), F.lit("missing")).alias("even"))
+
+
 # ---------------------------------------------------------------- SRC-2
 @query("src_csv_na_markers", with_("gov_clean") + "SELECT * FROM gov_clean")
 def src_csv_na_markers(spark, sf):
@@ -75,12 +114,30 @@ def src_csv_na_markers(spark, sf):
 )
 def stage_table_roundtrip(spark, sf):
     root = _fresh(spark, "stages")
-    cleaned = C.run(fx.gov_clean(spark, sf), "income", "classification", keys=("order_id",)).cleaned
-    io.save_stage(cleaned, root, "run-a", "cleaned")
-    io.save_stage(cleaned.limit(0), root, "run-b", "cleaned")
+    res = C.run(fx.gov_clean(spark, sf), "income", "classification", keys=("order_id",))
+    io.save_stage(res.cleaned, root, "run-a", "cleaned")
+    res.fit.release()
     return _round_doubles(io.load_stage(spark, root, "run-a", "cleaned"))
 
 
+@query(
+    "stage_two_runs",
+    """SELECT '1' AS run_id, 'o_custkey,o_orderkey' AS columns, count(*) AS n, sum(o_custkey)::BIGINT AS total FROM orders
+UNION ALL SELECT '01', 'p_size', count(*), sum(p_size)::BIGINT FROM part""",
+)
+def stage_two_runs(spark, sf):
+    """Two runs with look-alike ids and different columns in one root."""
+    root = _fresh(spark, "stages")
+    io.save_stage(fx.read(spark, sf, "orders").select("o_orderkey", "o_custkey"), root, "1", "cleaned")
+    io.save_stage(fx.read(spark, sf, "part").select("p_size"), root, "01", "cleaned")
+    out = None
+    for run_id, c in (("1", "o_custkey"), ("01", "p_size")):
+        back = io.load_stage(spark, root, run_id, "cleaned")
+        part = back.agg(F.lit(run_id).alias("run_id"), F.lit(",".join(sorted(back.columns))).alias("columns"), F.count(F.lit(1)).alias("n"), F.sum(c).cast("long").alias("total"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 # ---------------------------------------------------------------- SRC-7
 @query("preview_top10", with_("gov") + "SELECT * FROM gov ORDER BY order_id LIMIT 10")
 def preview_top10(spark, sf):

@@ -23,6 +23,14 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*EVENT_COLUMNS)
 
 
+def last_seq(spark: SparkSession, path: str, run_id: str) -> int:
+    """Largest event id of a run in the table at ``path`` (0 if there is none)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return 0
+    return read_events(spark, path).where(F.col("run_id") == run_id).agg(F.max("seq")).first()[0] or 0
+
+
 def new_events(spark: SparkSession, rows: list[tuple], ts=None) -> DataFrame:
     """Events from driver-side values (one row per call of the workflow): the
     timestamp is the current UTC wall-clock time (naive) unless given."""

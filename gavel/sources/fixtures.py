@@ -31,9 +31,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(dp) if df.rdd.getNumPartitions() < dp else df
 
 
-_MATERIALISED: dict[tuple[str, str], str] = {}
-
-
 def _hadoop_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -59,14 +56,10 @@ def gov(spark: SparkSession, sf_dir: str) -> DataFrame:
     re-running the four-way join."""
     from gavel.session import shared_path
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path = _MATERIALISED.get(key)
-    if path is None:
-        path = shared_path(spark, "fixtures", _source_stamp(spark, sf_dir, ["orders", "customer", "nation", "region"]), "gov")
-        marker, fs = _hadoop_fs(spark, path + "/_SUCCESS")
-        if not fs.exists(marker):
-            spread(gov_join(spark, sf_dir)).write.mode("overwrite").parquet(path)
-        _MATERIALISED[key] = path
+    path = shared_path(spark, "fixtures", _source_stamp(spark, sf_dir, ["orders", "customer", "nation", "region"]), "gov")
+    marker, fs = _hadoop_fs(spark, path + "/_SUCCESS")
+    if not fs.exists(marker):
+        spread(gov_join(spark, sf_dir)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -164,10 +157,10 @@ MODELS = ["LogisticRegression", "RandomForest", "GradientBoosting"]
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_id, seq, ts, event_type, event_source, quality_passed, decision,
-    model, details). ``details`` is the JSON text of the typed fields, or the
-    unparsable text ``bad`` for every 50th event. Pure projection of
-    ``events``: no shuffle."""
+    """The raw log (run_id, seq, ts, event_type, event_source, summary,
+    details). ``details`` is JSON text as a run writes it, or the unparsable
+    text ``bad`` for every 50th event. Pure projection of ``events``: no
+    shuffle."""
     e = spread(read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
     etype = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in EVENT_TYPE_MAP.items()])
     base = e.select(
@@ -187,21 +180,15 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "training_run", _pick(MODELS, seq)).alias("model"),
     )
     q = F.lit('"')
-    body = F.concat(
-        F.lit('{"event_type":"'), et, q,
-        F.coalesce(F.concat(F.lit(',"quality_passed":'), F.col("quality_passed").cast("string")), F.lit("")),
-        F.coalesce(F.concat(F.lit(',"decision":"'), F.col("decision"), q), F.lit("")),
-        F.coalesce(F.concat(F.lit(',"model":"'), F.col("model"), q), F.lit("")),
-        F.lit("}"),
-    )
-    summary = (
-        F.when(et == "planner_run", F.lit("Planner Agent generated plan"))
-        .when(et == "data_agent_run", F.concat(F.lit("Data Agent completed (quality_passed="), F.when(F.col("quality_passed"), "True").otherwise("False"), F.lit(")")))
-        .when(et == "training_run", F.concat(F.lit("Training Agent selected model: "), F.col("model")))
-        .when(et == "fairness_run", F.lit("Fairness Agent evaluated sensitive attributes"))
-        .otherwise(F.concat(F.lit("Human reviewer submitted decision: '"), F.col("decision"), F.lit("'")))
+    body = (
+        F.when(et == "data_agent_run", F.concat(F.lit('{"quality_report":{"quality_check_passed":'), F.col("quality_passed").cast("string"), F.lit("}}")))
+        .when(et == "human_decision", F.concat(F.lit('{"human_decision":"'), F.col("decision"), F.lit('"}')))
+        .when(et == "training_run", F.concat(F.lit('{"selected_model_name":"'), F.col("model"), F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"event_type":"'), et, q, F.lit("}")))
     )
-    return typed.withColumn("summary", summary).withColumn("details", F.when((seq % 50) == 0, F.lit("bad")).otherwise(body))
+    summary = F.concat(F.lit("event "), seq.cast("string"), F.lit(": "), F.replace(et, F.lit("_"), F.lit(" ")))
+    out = typed.withColumn("summary", summary).withColumn("details", F.when((seq % 50) == 0, F.lit("bad")).otherwise(body))
+    return out.select("run_id", "seq", "ts", "event_type", "event_source", "summary", "details")
 
 
 def _pick(values: list[str], seq: Column) -> Column:

@@ -8,76 +8,103 @@ Stage tables and models live under the shared folder the session names
 from __future__ import annotations
 
 import os
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavel.functions.exprs import normalise_nan
+from gavel.functions.exprs import col, normalise_nan
 
 SUPPORTED = (".csv", ".parquet")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: CSV with header and inferred types (refusing malformed rows) or
-    Parquet; other extensions are refused. NaN is normalised to NULL."""
+# Texts that read as missing in a CSV file.
+MISSING_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """SRC-1: CSV with header or Parquet; other extensions are refused. NaN is
+    normalised to NULL.
+
+    CSV follows the usual quoting rules (a doubled quote inside quotes; line
+    breaks inside quotes with ``multi_line``, which reads a file in one task).
+    The missing-value texts read as NULL, a row with the wrong number of fields
+    fails the read, and types are inferred over all remaining values: boolean,
+    int, bigint, double, else string."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in SUPPORTED:
         raise ValueError(f"unsupported file type {ext or '(none)'}: only CSV and Parquet are read")
-    if ext == ".csv":
-        df = spark.read.csv(path, header=True, inferSchema=True, mode="FAILFAST")
-    else:
-        df = spark.read.parquet(path)
-    return normalise_nan(df)
+    if ext == ".parquet":
+        return normalise_nan(spark.read.parquet(path))
+    raw = spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST", quote='"', escape='"', multiLine=multi_line)
+    return normalise_nan(_with_types(_without_markers(raw, MISSING_TEXTS)))
+
+
+def _without_markers(df: DataFrame, markers) -> DataFrame:
+    return df.select(*[F.when(F.trim(col(c)).isin(*markers), None).otherwise(col(c)).alias(c) for c in df.columns])
+
+
+def _with_types(df: DataFrame) -> DataFrame:
+    """Narrowest of boolean, int, bigint, double that every value of a column
+    casts to (one single-row aggregate); string otherwise."""
+    kinds = ("boolean", "int", "bigint", "double")
+
+    def fits(c: str, kind: str):
+        v = F.trim(col(c))
+        ok = F.lower(v).isin("true", "false") if kind == "boolean" else v.try_cast(kind).isNotNull()
+        return F.coalesce(F.bool_and(F.when(v.isNotNull(), ok)), F.lit(False))
+
+    row = df.agg(*[fits(c, k).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k in kinds]).first()
+    out = []
+    for i, c in enumerate(df.columns):
+        kind = next((k for k in kinds if row[f"{k}{i}"]), None)
+        out.append(F.trim(col(c)).cast(kind).alias(c) if kind else col(c))
+    return df.select(*out)
 
 
 def read_csv_named(spark: SparkSession, path: str, schema: T.StructType | str, na: tuple[str, ...] = ("?",)) -> DataFrame:
-    """SRC-2: header-less CSV with given names/types; the NA marker (also
-    after the separator's blank) reads as NULL."""
-    reader = spark.read.option("header", False).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-    if na:
-        reader = reader.option("nullValue", na[0])
-    df = reader.csv(path, schema=schema)
-    for marker in na[1:]:
-        df = df.select(*[F.when(F.col(f"`{c}`") == marker, None).otherwise(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
-    return df
+    """SRC-2: header-less CSV with given names/types. The missing-value markers
+    (also after the separator's blank) read as NULL; a row with the wrong number
+    of fields, or a value that is not of its column's type, fails the read."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    raw = spark.read.csv(path, schema=texts, header=False, mode="FAILFAST", quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    raw = _without_markers(raw, na) if na else raw
+    return raw.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def stage_path(root: str, stage: str) -> str:
-    return f"{root.rstrip('/')}/{stage}"
+def stage_path(root: str, run_id: str, stage: str) -> str:
+    """One folder per run and stage: runs may differ in schema, and an id is
+    kept as the text it is."""
+    return f"{root.rstrip('/')}/run-{quote(run_id, safe='')}/{stage}"
 
 
 def save_stage(df: DataFrame, root: str, run_id: str, stage: str) -> None:
-    """SRC-3: store a stage's output for one run: one table per stage,
-    partitioned by run, overwriting only this run's partition."""
-    (
-        df.withColumn("run_id", F.lit(run_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(stage_path(root, stage))
-    )
+    """SRC-3: store a stage's output for one run (overwriting that run's only)."""
+    df.write.mode("overwrite").parquet(stage_path(root, run_id, stage))
 
 
 def load_stage(spark: SparkSession, root: str, run_id: str, stage: str) -> DataFrame:
-    """Read one run's stage output back (partition pruning on run_id)."""
-    df = spark.read.parquet(stage_path(root, stage)).where(F.col("run_id") == run_id)
-    return df.drop("run_id")
+    """Read one run's stage output back."""
+    return spark.read.parquet(stage_path(root, run_id, stage))
 
 
 def save_model(model, path: str) -> None:
-    """SRC-4: persist a fitted Spark ML model (PipelineModel or estimator model)."""
+    """SRC-4: persist a fitted Spark ML model."""
     model.write().overwrite().save(path)
 
 
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
-
-    return PipelineModel.load(path)
+def load_model(path: str, of: type):
+    """Load a model saved by ``save_model``; ``of`` is its class."""
+    return of.load(path)
 
 
 def preview(df: DataFrame, key: str, n: int = 10) -> DataFrame:

@@ -82,7 +82,3 @@ def contains_any(text: Column, needles: Iterable[str]) -> Column:
         e = F.contains(text, F.lit(k))
         out = e if out is None else (out | e)
     return out
-
-
-def fmt(pattern: str, *cols: Column) -> Column:
-    return F.format_string(pattern, *cols)

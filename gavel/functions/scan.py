@@ -20,23 +20,6 @@ def _chunked(df: DataFrame, seq: str, chunk: int) -> DataFrame:
     return df.withColumn("__chunk", F.floor(F.col(seq) / F.lit(chunk)).cast("long"))
 
 
-def last_before(df: DataFrame, key: str, seq: str, value: Column, out: str, chunk: int = DEFAULT_CHUNK, inclusive: bool = False) -> DataFrame:
-    """Add ``out`` = the last non-null ``value`` of an earlier row (by ``seq``)
-    of the same ``key`` (``inclusive``: the row itself counts)."""
-    d = _chunked(df, seq, chunk).withColumn("__val", value)
-    frame_end = Window.currentRow if inclusive else -1
-    w_in = Window.partitionBy(key, "__chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, frame_end)
-    d = d.withColumn("__local", F.last("__val", ignorenulls=True).over(w_in))
-    # chunk summaries, one row per (key, chunk): last non-null value in it
-    summ = d.groupBy(key, "__chunk").agg(
-        F.max_by("__val", F.when(F.col("__val").isNotNull(), F.col(seq))).alias("__chunk_last")
-    )
-    w_c = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    allc = summ.select(key, "__chunk", F.last("__chunk_last", ignorenulls=True).over(w_c).alias("__carry"))
-    res = d.join(allc, [key, "__chunk"], "left").withColumn(out, F.coalesce(F.col("__local"), F.col("__carry")))
-    return res.drop("__chunk", "__val", "__local", "__carry")
-
-
 def previous_value(df: DataFrame, key: str, seq: str, value: str, out: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Add ``out`` = ``value`` of the previous row (by ``seq``) of the same
     key, NULL for the first row (a chunked ``lag``)."""
@@ -51,19 +34,6 @@ def previous_value(df: DataFrame, key: str, seq: str, value: str, out: str, chun
     return res.drop("__chunk", "__lag", "__first", "__carry")
 
 
-def running_sum(df: DataFrame, key: str, seq: str, value: Column, out: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over the rows of the same key up to and
-    including this one (by ``seq``): a chunked cumulative sum."""
-    d = _chunked(df, seq, chunk).withColumn("__v", value.cast("long"))
-    w_in = Window.partitionBy(key, "__chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("__local", F.sum("__v").over(w_in))
-    summ = d.groupBy(key, "__chunk").agg(F.sum("__v").alias("__chunk_sum"))
-    w_c = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(key, "__chunk", F.coalesce(F.sum("__chunk_sum").over(w_c), F.lit(0)).alias("__carry"))
-    res = d.join(carry, [key, "__chunk"], "left").withColumn(out, (F.col("__local") + F.col("__carry")).cast("long"))
-    return res.drop("__chunk", "__v", "__local", "__carry")
-
-
 def prefix_scan(
     df: DataFrame,
     key: str,

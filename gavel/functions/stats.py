@@ -6,12 +6,9 @@ vocabularies and class balance for every column at once. The groupBy is
 partially aggregated map-side, so a hot value (one value holding a third of
 all rows) collapses to one row per map task before the shuffle.
 
-``exact_quantiles``: exact linear-interpolation quantiles without pulling a
-column's distinct values into one task (Spark's ``percentile`` / ``median``
-merge one value map per group in a single task). It works on the value-count
-table: range-partition the distinct values, prefix-sum partition totals (a
-table of at most partitions x columns rows), then rank values inside each
-range partition.
+``exact_quantiles``: exact linear-interpolation quantiles of many columns by
+narrowing brackets - single-row aggregates only, no shuffle of data rows and no
+value map in one task (as Spark's ``percentile`` / ``median`` would build).
 
 ``top_k``: ``row_number() <= k`` per group; Catalyst turns the filter into a
 partial ``WindowGroupLimit`` before the shuffle, so each group ships at most
@@ -21,6 +18,7 @@ k rows per map partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,129 +65,96 @@ def _pinned(ranged: DataFrame) -> DataFrame:
     return ranged.checkpoint(eager=True)
 
 
-def _lerp(lo: Column, hi: Column, t: Column) -> Column:
+# values of a bracket that one aggregate may hold, and the sketch's accuracy
+BRACKET = 10_000
+ACCURACY = 1_000
+
+
+def _lerp(lo: float, hi: float, t: float) -> float:
     """numpy's linear interpolation (the form used for quantiles)."""
     d = hi - lo
-    return F.when(t >= 0.5, hi - d * (F.lit(1.0) - t)).otherwise(lo + d * t)
-
-
-# distinct values per column that one exact ``percentile`` buffer may hold
-PERCENTILE_MAP_LIMIT = 1_000_000
-
-
-def exact_quantiles(vc: DataFrame, probs: Sequence[float], partitions: int | None = None, distinct: dict[str, int] | None = None) -> DataFrame:
-    """Exact quantiles (linear interpolation between order statistics, as
-    pandas/numpy compute them) per column of a value-count table.
-
-    Input: (column_name, value double, n). Output: (column_name, prob_idx,
-    prob, value). Columns whose distinct-value count is proven below
-    ``PERCENTILE_MAP_LIMIT`` use Spark's exact ``percentile`` with the counts
-    as frequencies (one aggregate; the buffer per column holds at most the
-    limit); the others take the range-partitioned path, whose memory does not
-    depend on the number of distinct values. ``distinct`` may pass upper
-    estimates per column (e.g. from an HLL sketch of an earlier pass)."""
-    vals = vc.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    if distinct is None:
-        distinct = {r["column_name"]: r["count"] for r in vals.groupBy("column_name").count().collect()}
-    small = [c for c, k in distinct.items() if k <= PERCENTILE_MAP_LIMIT]
-    large = [c for c, k in distinct.items() if k > PERCENTILE_MAP_LIMIT]
-    parts = []
-    if small:
-        pct = vals.where(F.col("column_name").isin(small)).groupBy("column_name").agg(
-            F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n")).alias("__q")
-        )
-        prob_arr = F.array(*[F.lit(float(p)) for p in probs])
-        parts.append(pct.select("column_name", F.posexplode("__q").alias("prob_idx", "value")).select(
-            "column_name", F.col("prob_idx").cast("int").alias("prob_idx"), F.element_at(prob_arr, F.col("prob_idx") + 1).alias("prob"), "value"
-        ))
-    if large:
-        parts.append(_quantiles_by_ranges(vals.where(F.col("column_name").isin(large)), probs, partitions))
-    if not parts:
-        return vc.sparkSession.createDataFrame([], "column_name string, prob_idx int, prob double, value double")
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
+    return hi - d * (1.0 - t) if t >= 0.5 else lo + d * t
+
+
+def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: Sequence[float], chunk: int = 100) -> dict[str, list[float | None]]:
+    """Exact quantiles (linear interpolation between order statistics, as numpy
+    computes them) of several numeric expressions; NULL and NaN are left out.
+
+    Nothing but single rows is shuffled. One aggregate counts the values; then,
+    while the wanted order statistic's bracket holds more than ``BRACKET``
+    values, a mergeable quantile sketch of the bracket's interior names a
+    narrower one (about 1/150 of it) and an exact count tells where the
+    statistic lies; the last aggregate sorts the few values left. So the number
+    of scans is logarithmic in the rows, for all columns together."""
+    x = {c: F.nanvl(e.cast("double"), F.lit(None).cast("double")) for c, e in cols.items()}
+
+    def scan(exprs: dict[str, Column]) -> dict:
+        """One single-row aggregate a chunk of columns."""
+        got, names = {}, list(exprs)
+        for at in range(0, len(names), chunk):
+            part = names[at : at + chunk]
+            row = df.agg(*[exprs[n].alias(f"a{i}") for i, n in enumerate(part)]).first()
+            got.update({n: row[f"a{i}"] for i, n in enumerate(part)})
+        return got
+
+    n = scan({c: F.count(e) for c, e in x.items()})
+    wanted = {(c, r) for c in x if n[c] for p in probs for r in (floor((n[c] - 1) * p), ceil((n[c] - 1) * p))}
+    inf = float("inf")
+    # (column, rank) -> open interval (lo, hi), values up to lo, values inside
+    state = {k: (-inf, inf, 0, n[k[0]]) for k in wanted}
+    found: dict[tuple[str, int], float] = {}
+
+    def inside(c: str, lo: float, hi: float) -> Column:
+        return F.when((x[c] > F.lit(lo)) & (x[c] < F.lit(hi)), x[c])
+
+    while wide := {k: v for k, v in state.items() if k not in found and v[3] > BRACKET}:
+        at = {}
+        for (c, r), (lo, hi, before, m) in wide.items():
+            q = (r - before + 0.5) / m
+            at[c, r] = F.percentile_approx(inside(c, lo, hi), F.array(*[F.lit(min(max(q + d, 0.0), 1.0)) for d in (-3 / ACCURACY, 3 / ACCURACY)]), F.lit(ACCURACY))
+        edges = scan(at)
+        counts = scan({(k, i): e for k, (a, b) in edges.items() for i, e in enumerate((
+            F.count_if(inside(k[0], state[k][0], a).isNotNull()), F.count_if(x[k[0]] == F.lit(a)),
+            F.count_if(inside(k[0], a, b).isNotNull()), F.count_if(x[k[0]] == F.lit(b))))})
+        for k, (a, b) in edges.items():
+            lo, hi, before, m = state[k]
+            under, at_a, mid, at_b = (counts[k, i] for i in range(4))
+            at_b = 0 if a == b else at_b
+            r = k[1] - before
+            if r < under:
+                state[k] = (lo, a, before, under)
+            elif r < under + at_a:
+                found[k] = a
+            elif r < under + at_a + mid:
+                state[k] = (a, b, before + under + at_a, mid)
+            elif r < under + at_a + mid + at_b:
+                found[k] = b
+            else:
+                done = under + at_a + mid + at_b
+                state[k] = (b, hi, before + done, m - done)
+    left = scan({k: F.array_sort(F.collect_list(inside(k[0], v[0], v[1]))) for k, v in state.items() if k not in found and v[0:2] != (-inf, inf)}
+                | {k: F.array_sort(F.collect_list(x[k[0]])) for k, v in state.items() if k not in found and v[0:2] == (-inf, inf)})
+    found.update({k: values[k[1] - state[k][2]] for k, values in left.items()})
+    out: dict[str, list[float | None]] = {}
+    for c in x:
+        out[c] = []
+        for p in probs:
+            if not n[c]:
+                out[c].append(None)
+                continue
+            pos = (n[c] - 1) * p
+            out[c].append(_lerp(found[c, floor(pos)], found[c, ceil(pos)], pos - floor(pos)))
     return out
 
 
-def _quantiles_by_ranges(vc: DataFrame, probs: Sequence[float], partitions: int | None = None) -> DataFrame:
-    """Unbounded path: range partitions of the distinct values, partition
-    totals, prefix sums, ranks inside each range partition."""
-    spark = vc.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vals = vc.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranged = _pinned(vals.repartitionByRange(parts, "column_name", "value").withColumn("pid", F.spark_partition_id()))
-
-    # at most (partitions x columns) rows: offsets of each range partition
-    pstats = ranged.groupBy("column_name", "pid").agg(F.sum("n").alias("cnt"))
-    pstats = pstats.select(
-        "column_name",
-        "pid",
-        (F.sum("cnt").over(Window.partitionBy("column_name").orderBy("pid")) - F.col("cnt")).alias("offset"),
-        F.sum("cnt").over(Window.partitionBy("column_name")).alias("total"),
-    )
-
-    # target ranks, one row per (column, prob): tiny
-    prob_arr = F.array(*[F.struct(F.lit(i).alias("prob_idx"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
-    totals = pstats.groupBy("column_name").agg(F.max("total").alias("total"))
-    pos = (F.col("total") - 1).cast("double") * F.col("prob")
-    targets = totals.select("column_name", "total", F.inline(prob_arr)).select(
-        "column_name",
-        "prob_idx",
-        "prob",
-        F.floor(pos).cast("long").alias("r_lo"),
-        F.ceil(pos).cast("long").alias("r_hi"),
-        (pos - F.floor(pos)).alias("frac"),
-    )
-
-    # rank of each distinct value: prefix sum inside its range partition
-    within = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranged.withColumn("cum", F.sum("n").over(within)).join(
-        F.broadcast(pstats.select("column_name", "pid", "offset")), ["column_name", "pid"]
-    )
-    ranked = ranked.select(
-        "column_name",
-        "value",
-        (F.col("offset") + F.col("cum") - F.col("n")).alias("r_start"),
-        (F.col("offset") + F.col("cum") - 1).alias("r_end"),
-    )
-    t = targets.alias("t")
-    r = ranked.alias("r")
-    hit_lo = F.col("t.r_lo").between(F.col("r.r_start"), F.col("r.r_end"))
-    hit_hi = F.col("t.r_hi").between(F.col("r.r_start"), F.col("r.r_end"))
-    hits = r.join(F.broadcast(t), (F.col("r.column_name") == F.col("t.column_name")) & (hit_lo | hit_hi))
-    picked = hits.groupBy(
-        F.col("t.column_name").alias("column_name"),
-        F.col("t.prob_idx").alias("prob_idx"),
-        F.col("t.prob").alias("prob"),
-        F.col("t.frac").alias("frac"),
-    ).agg(
-        F.max(F.when(hit_lo, F.col("r.value"))).alias("v_lo"),
-        F.max(F.when(hit_hi, F.col("r.value"))).alias("v_hi"),
-    )
-    return picked.select("column_name", "prob_idx", "prob", _lerp(F.col("v_lo"), F.col("v_hi"), F.col("frac")).alias("value"))
-
-
-# rows per group that one window task may hold in the bounded path
-WINDOW_GROUP_LIMIT = 1_000_000
-
-
-def weight_before(df: DataFrame, group: str, value: str, weight: str, partitions: int | None = None, bounded: bool | None = None) -> DataFrame:
+def weight_before(df: DataFrame, group: str, value: str, weight: str, partitions: int | None = None) -> DataFrame:
     """Add ``before`` = sum of ``weight`` over rows of the same ``group``
     with a strictly smaller ``value`` (rows hold distinct (group, value)).
 
-    When every group is proven to hold at most ``WINDOW_GROUP_LIMIT`` rows
-    (one small count job, unless ``bounded`` is given) a window per group
-    does it. Otherwise a distributed prefix sum: range-partition by (group,
-    value), total each range partition (a table of partitions x groups
-    rows), prefix-sum those totals, then a window inside each range
-    partition only."""
-    if bounded is None:
-        biggest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-        bounded = biggest <= WINDOW_GROUP_LIMIT
-    if bounded:
-        w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("before", F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    A distributed prefix sum: range-partition by (group, value), total each
+    range partition (a table of partitions x groups rows), prefix-sum those
+    totals, then a window inside each range partition only - never over a
+    whole group."""
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = _pinned(df.repartitionByRange(parts, group, value).withColumn("__pid", F.spark_partition_id()))
@@ -200,5 +165,5 @@ def weight_before(df: DataFrame, group: str, value: str, weight: str, partitions
     )
     within = Window.partitionBy(group, "__pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.withColumn("__cum", F.coalesce(F.sum(weight).over(within), F.lit(0)))
-    out = out.join(F.broadcast(pstats), [group, "__pid"])
+    out = out.join(pstats, [group, "__pid"])
     return out.withColumn("before", F.col("__off") + F.col("__cum")).drop("__pid", "__off", "__cum")

@@ -9,19 +9,20 @@ Execution: a fit of few aggregate jobs whose results are small per-column
 parameters (like Spark ML estimators), then one lazy projection.
 
 * pass 1, raw table, one single-row aggregate: nulls of every column; for
-  numeric features over the rows that keep their target: count, mean,
-  population variance (merge-stable moments) and an HLL distinct estimate;
-* medians of numeric features with gaps: one exact ``percentile``
-  aggregate when the distinct estimate bounds its buffer, the ranged
-  quantile path otherwise; the imputed column's mean and variance follow by
+  numeric features over the rows that keep their target: count, mean and
+  population variance (merge-stable moments);
+* medians of numeric features with gaps: bracketing aggregates (see
+  ``stats.exact_quantiles``); the imputed column's mean and variance follow by
   the parallel-moments rule;
 * pass 2, kept rows: the categorical value-count table (persisted): one
   aggregate gives nulls, cardinality, the mode (a bounded ``min_by``) and the
   power sums that give the moments of the frequency codes; one top-k job the
-  one-hot vocabularies; the target's counts give classes and class balance.
+  one-hot vocabularies.
 
-Frequency maps stay DataFrames and are joined back: broadcast only when the
-fitted cardinality proves them small, a shuffle join (AQE skew-split) beyond.
+Frequency maps and the class list stay DataFrames and are joined (broadcast or
+not is left to Spark's own size check, skew to AQE). Rows whose value was
+imputed take the mode's share as a literal and stay out of the join key, so they
+do not pile up on one value.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavel.functions.exprs import as_text, col, is_flat, is_numeric
-from gavel.functions.stats import PERCENTILE_MAP_LIMIT, exact_quantiles, top_k, value_counts
+from gavel.functions.exprs import as_text, col, is_flat, is_numeric, normalise_nan
+from gavel.functions.stats import exact_quantiles, top_k, value_counts, weight_before
 
 # Thresholds of the cleaning rules and the quality gate.
 COLUMN_DROP_NULL_SHARE = 0.50      # drop a feature when its null share is above
@@ -44,9 +45,6 @@ ONE_HOT_CARDINALITY_LIMIT = 10     # one-hot below, frequency encoding at or abo
 MISSING_PCT_LIMIT = 5.0            # gate fails at or above this share of null cells
 IMBALANCE_NOTE_RATIO = 1.5
 
-BROADCAST_MAP_ROWS = 1_000_000     # frequency maps up to this many values are broadcast
-MAX_CLASSES = 100_000              # label encoding keeps the class list on the driver
-
 
 @dataclass
 class CleanFit:
@@ -61,10 +59,13 @@ class CleanFit:
     kinds: dict[str, str]                     # column -> numeric | bool | categorical
     impute_numeric: dict[str, tuple[float | None, int]] = field(default_factory=dict)
     impute_mode: dict[str, tuple[str | None, int]] = field(default_factory=dict)
-    classes: list | None = None
+    encode_target: bool = False
+    n_classes: int = 0
+    classes: DataFrame | None = None          # (value, code) of an encoded target
     one_hot: dict[str, list[str]] = field(default_factory=dict)
     freq: dict[str, DataFrame] = field(default_factory=dict)
     freq_card: dict[str, int] = field(default_factory=dict)
+    mode_share: dict[str, float] = field(default_factory=dict)  # share of the mode of an imputed, frequency-encoded column
     scale: dict[str, tuple[float, float]] = field(default_factory=dict)
     imbalance_ratio: float | None = None
     smote: bool = False
@@ -99,16 +100,12 @@ def _kind(dt: T.DataType, had_nulls: bool) -> str:
     return "categorical"
 
 
-def null_counts(df: DataFrame, cols: list[str], sketch: list[str] = ()) -> tuple[int, dict[str, int], dict[str, int]]:
-    """Single-row aggregate: total rows, nulls per column and HLL distinct
-    estimates of the ``sketch`` columns (bounded-memory sketches)."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)],
-        *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(sketch)],
-    ).first()
-    n = int(row["__n"])
-    return n, {c: n - int(row[f"c{i}"]) for i, c in enumerate(cols)}, {c: int(row[f"d{i}"]) for i, c in enumerate(sketch)}
+def refuse_nested(df: DataFrame, keys: tuple[str, ...] = ()) -> None:
+    """Nested columns have no place in the cleaned table: name them instead of
+    losing them."""
+    nested = [f.name for f in df.schema.fields if not is_flat(f.dataType) and f.name not in keys]
+    if nested:
+        raise ValueError(f"nested columns cannot be cleaned, flatten or drop them first: {nested}")
 
 
 def drop_columns(df: DataFrame, target: str, explicit: list[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
@@ -130,8 +127,8 @@ def drop_columns(df: DataFrame, target: str, explicit: list[str] = (), keys: tup
         ]
     )
     long = agg.select(F.inline(rows))
-    reason = F.when(F.col("explicit"), F.format_string("plan instruction ('drop %s')", F.col("column_name"))).otherwise(
-        F.format_string("%.1f%% missing > %.0f%% threshold", F.col("null_share") * 100, F.lit(COLUMN_DROP_NULL_SHARE * 100))
+    reason = F.when(F.col("explicit"), F.lit("named by the plan")).otherwise(
+        F.format_string("%.1f%% null, above %.0f%%", F.col("null_share") * 100, F.lit(COLUMN_DROP_NULL_SHARE * 100))
     )
     return long.where(F.col("explicit") | (F.col("null_share") > COLUMN_DROP_NULL_SHARE)).select(
         "column_name", "col_pos", "null_share", reason.alias("reason")
@@ -179,14 +176,15 @@ def fit(
         raise ValueError(f"target column '{target}' not found; available: {df.columns}")
     if task not in ("classification", "regression"):
         raise ValueError(f"task must be 'classification' or 'regression', got {task!r}")
-    fields = {f.name: f.dataType for f in df.schema.fields if is_flat(f.dataType)}
+    refuse_nested(df, keys)
+    df = normalise_nan(df)
+    fields = {f.name: f.dataType for f in df.schema.fields}
     cols = list(fields)
 
     # pass 1, one single-row aggregate over the raw table: nulls of every
     # column, and for numeric features over the rows that keep their target
-    # (exactly the rows the row drop keeps): nulls, count, mean, population
-    # variance (Spark's merge-stable moments) and an HLL distinct estimate,
-    # which decides whether an exact percentile buffer is bounded
+    # (exactly the rows the row drop keeps): count, mean and population
+    # variance (Spark's merge-stable moments)
     num_candidates = [c for c in cols if c != target and c not in keys and is_numeric(fields[c])]
     keep_row = col(target).isNotNull()
     exprs = [F.count(F.lit(1)).alias("__n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)]]
@@ -196,12 +194,11 @@ def fit(
             F.count(x).alias(f"kc{i}"),
             F.avg(x).alias(f"km{i}"),
             F.var_pop(x).alias(f"kv{i}"),
-            F.approx_count_distinct(x).alias(f"kd{i}"),
         ]
     r1 = df.agg(*exprs).first()
     n = int(r1["__n"])
     nulls = {c: n - int(r1[f"c{i}"]) for i, c in enumerate(cols)}
-    kstats = {c: (int(r1[f"kc{i}"]), r1[f"km{i}"], r1[f"kv{i}"], int(r1[f"kd{i}"])) for i, c in enumerate(num_candidates)}
+    kstats = {c: (int(r1[f"kc{i}"]), r1[f"km{i}"], r1[f"kv{i}"]) for i, c in enumerate(num_candidates)}
 
     dropped = []
     for c in cols:
@@ -209,9 +206,9 @@ def fit(
             continue
         share = nulls[c] / n if n else 0.0
         if c in explicit_drop:
-            dropped.append((c, f"plan instruction ('drop {c}')"))
+            dropped.append((c, "named by the plan"))
         elif share > COLUMN_DROP_NULL_SHARE:
-            dropped.append((c, f"{share * 100:.1f}% missing > {COLUMN_DROP_NULL_SHARE * 100:.0f}% threshold"))
+            dropped.append((c, f"{share * 100:.1f}% null, above {COLUMN_DROP_NULL_SHARE * 100:.0f}%"))
     dropped_names = {c for c, _ in dropped}
     kept = [c for c in cols if c not in dropped_names]
     kinds = {c: _kind(fields[c], nulls[c] > 0) for c in kept if c != target and c not in keys}
@@ -222,22 +219,12 @@ def fit(
     cats = [c for c, k in kinds.items() if k == "categorical"]
     n_kept = n - f.rows_dropped
 
-    # numeric features: medians of the columns with gaps (one bounded
-    # percentile aggregate; unbounded columns take the ranged path), then
-    # mean and variance of the imputed column by the parallel-moments rule
+    # numeric features: medians of the columns with gaps, then mean and variance
+    # of the imputed column by the parallel-moments rule
     need = [c for c in numeric if kstats[c][0] < n_kept]
-    med: dict[str, float | None] = {}
-    bounded = [c for c in need if kstats[c][3] * 2 <= PERCENTILE_MAP_LIMIT]
-    if bounded:
-        r = rows.agg(*[F.percentile(col(c).cast("double"), F.lit(0.5)).alias(f"p{i}") for i, c in enumerate(bounded)]).first()
-        med.update({c: r[f"p{i}"] for i, c in enumerate(bounded)})
-    unbounded = [c for c in need if c not in bounded]
-    if unbounded:
-        vc_num = value_counts(rows, unbounded, "double")
-        q = exact_quantiles(vc_num, [0.5], distinct={c: PERCENTILE_MAP_LIMIT + 1 for c in unbounded})
-        med.update({r["column_name"]: r["value"] for r in q.collect()})
+    med = {c: q[0] for c, q in exact_quantiles(rows, {c: col(c) for c in need}, [0.5]).items()} if need else {}
     for c in numeric:
-        cnt, mean, var, _d = kstats[c]
+        cnt, mean, var = kstats[c]
         k = n_kept - cnt
         m = med.get(c)
         if k > 0:
@@ -308,20 +295,23 @@ def fit(
             nmax, k, N = float(r["nmax"] or 0.0), float(filled if mode is not None else 0), float(n_kept)
             s2 = (r["s2"] or 0.0) - nmax * nmax + (nmax + k) ** 2
             s3 = (r["s3"] or 0.0) - nmax ** 3 + (nmax + k) ** 3
+            if N and k:
+                f.mode_share[c] = (nmax + k) / N
             mean_f = s2 / (N * N) if N else None
             var_f = max(s3 / N ** 3 - mean_f * mean_f, 0.0) if N else None
             f.scale[c] = (mean_f, var_f ** 0.5 if var_f is not None else None)
 
-    # label encoding and class balance from the target's value counts
+    # class balance from the target's value counts; classes other than numbers
+    # and booleans are encoded by a joined table
     if task == "classification":
-        counts = vc_cat.where((F.col("column_name") == target) & F.col("value").isNotNull()).select("value", "n").limit(MAX_CLASSES + 1).collect()
-        if len(counts) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes in target '{target}'")
-        if not is_numeric(fields[target]):
-            f.classes = sorted(r["value"] for r in counts)
-        if len(counts) >= 2:
-            ns = [r["n"] for r in counts]
-            f.imbalance_ratio = float(max(ns)) / float(min(ns))
+        of_target = vc_cat.where((F.col("column_name") == target) & F.col("value").isNotNull())
+        b = of_target.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("hi"), F.min("n").alias("lo")).first()
+        f.n_classes = int(b["k"])
+        f.encode_target = not is_numeric(fields[target]) and not isinstance(fields[target], T.BooleanType)
+        if f.encode_target:
+            f.classes = label_mapping(df, target)
+        if b["k"] >= 2:
+            f.imbalance_ratio = float(b["hi"]) / float(b["lo"])
     return f
 
 
@@ -348,16 +338,14 @@ def transform(df: DataFrame, f: CleanFit) -> DataFrame:
     """One projection over the kept rows (plus a join per frequency-encoded
     column)."""
     fields = {s.name: s.dataType for s in df.schema.fields}
-    rows = df.where(col(f.target).isNotNull())
-    out = rows
-    # frequency maps: joined on the imputed text value
+    out = normalise_nan(df).where(col(f.target).isNotNull())
+    # frequency maps: joined on the value; imputed rows take the mode's share
     for c, share in f.freq.items():
-        mode, _ = f.impute_mode.get(c, (None, 0))
-        key = F.coalesce(_category_text(c, fields[c]), F.lit(mode))
         m = share.select(F.col("__v").alias(f"__k_{c}"), F.col("__f").alias(f"__f_{c}"))
-        if f.freq_card.get(c, 0) <= BROADCAST_MAP_ROWS:
-            m = F.broadcast(m)
-        out = out.withColumn(f"__key_{c}", key).join(m, F.col(f"__key_{c}") == F.col(f"__k_{c}"), "left")
+        out = out.withColumn(f"__key_{c}", _category_text(c, fields[c])).join(m, F.col(f"__key_{c}") == F.col(f"__k_{c}"), "left")
+    if f.encode_target:
+        codes = f.classes.select(F.col("value").alias("__class"), F.col("code").alias("__code"))
+        out = out.join(codes, col(f.target) == F.col("__class"), "left")
 
     proj: list[Column] = []
     dummies: list[Column] = []
@@ -366,11 +354,7 @@ def transform(df: DataFrame, f: CleanFit) -> DataFrame:
             proj.append(col(c))
             continue
         if c == f.target:
-            if f.classes is not None:
-                codes = F.array(*[F.lit(v) for v in f.classes])
-                proj.append((F.array_position(codes, col(c)) - 1).cast("long").alias(c))
-            else:
-                proj.append(col(c))
+            proj.append(F.col("__code").alias(c) if f.encode_target else col(c))
             continue
         kind = f.kinds[c]
         if kind == "numeric":
@@ -384,7 +368,8 @@ def transform(df: DataFrame, f: CleanFit) -> DataFrame:
             for val in f.one_hot[c]:
                 dummies.append(F.coalesce(v == F.lit(val), F.lit(False)).alias(f"{c}_{val}"))
         else:
-            proj.append(_scale(f, c, F.col(f"__f_{c}")))
+            shared = F.lit(f.mode_share.get(c)).cast("double")
+            proj.append(_scale(f, c, F.when(F.col(f"__key_{c}").isNull(), shared).otherwise(F.col(f"__f_{c}"))))
     return out.select(*proj, *dummies)
 
 
@@ -395,7 +380,6 @@ def transform(df: DataFrame, f: CleanFit) -> DataFrame:
 def quality_report(original: DataFrame, cleaned: DataFrame, f: CleanFit) -> DataFrame:
     """AGG-14/15: one row; the null figures come from a real pass over the
     cleaned table. List fields are arrays."""
-    spark = cleaned.sparkSession
     cols = cleaned.columns
     agg = cleaned.agg(F.count(F.lit(1)).alias("__n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
     nulls = [(F.col("__n") - F.col(f"c{i}")) for i in range(len(cols))]
@@ -406,15 +390,11 @@ def quality_report(original: DataFrame, cleaned: DataFrame, f: CleanFit) -> Data
     )
     n_orig = f.n_original
     unhandled = [
-        f"{c} ({f.original_nulls[c] / n_orig * 100:.1f}% missing)"
+        f"{c} ({f.original_nulls[c] / n_orig * 100:.1f}% null)"
         for c in f.original_nulls
         if c != f.target and c not in {d for d, _ in f.dropped} and c not in f.keys and n_orig and f.original_nulls[c] / n_orig >= HIGH_NULL_UNHANDLED_SHARE
     ]
-    if f.task == "classification" and f.target in cols:
-        cc = cleaned.groupBy(col(f.target)).count().agg(F.max("count").alias("hi"), F.min("count").alias("lo"), F.count(F.lit(1)).alias("k"))
-        ratio = cc.select(F.when(F.col("k") >= 2, F.round(F.col("hi").cast("double") / F.col("lo"), 4))).scalar()
-    else:
-        ratio = F.lit(None).cast("double")
+    ratio = F.lit(round(f.imbalance_ratio, 4) if f.imbalance_ratio is not None else None).cast("double")
     rows_pct = round(f.rows_dropped / n_orig * 100, 2) if n_orig else 0.0
     rep = agg.select(
         F.coalesce(F.round(F.try_divide(null_cells.cast("double") * 100.0, total.cast("double")), 4), F.lit(0.0)).alias("missing_pct_after_cleaning"),
@@ -441,38 +421,24 @@ def _fmt_g4(x: float | None) -> str:
 def actions(f: CleanFit, spark: SparkSession) -> DataFrame:
     """CLN-8: (seq, step, column_name, detail) built from the fitted
     parameters (one entry per decision, a few per column)."""
-    out: list[tuple[str, str | None, str]] = []
-    for c, reason in f.dropped:
-        out.append(("drop_column", c, f"Dropped column '{c}' ({reason})"))
+    out: list[tuple[str, str | None, str]] = [("drop_column", c, reason) for c, reason in f.dropped]
     if not f.dropped:
-        out.append(("drop_column", None, "No columns exceeded drop threshold or specified for dropping — all retained"))
+        out.append(("drop_column", None, "none"))
     if f.rows_dropped > 0:
-        out.append(("drop_rows", f.target, f"Dropped {f.rows_dropped:,} rows with null target '{f.target}' ({f.rows_dropped / f.n_original * 100:.1f}% of rows)"))
+        out.append(("drop_rows", f.target, f"rows={f.rows_dropped} share={f.rows_dropped / f.n_original:.3f}"))
     for c in f.kept:
         if c in f.impute_numeric:
             v, k = f.impute_numeric[c]
-            out.append(("impute_median", c, f"Imputed '{c}' with median {_fmt_g4(v)} ({k:,} nulls filled)"))
+            out.append(("impute_median", c, f"median={_fmt_g4(v)} filled={k}"))
         elif c in f.impute_mode:
             v, k = f.impute_mode[c]
-            if v is None:
-                out.append(("impute_mode", c, f"WARNING: Cannot impute '{c}' — no non-null values found. Column will have unresolved nulls."))
-            else:
-                out.append(("impute_mode", c, f"Imputed '{c}' with mode '{v}' ({k:,} nulls filled)"))
-    if f.classes is not None:
-        mapping = ", ".join(f"'{k}'→{i}" for i, k in enumerate(f.classes))
-        out.append(("label_encode", f.target, f"Label-encoded target '{f.target}': {mapping}"))
-    for c in f.kept:
-        if c in f.one_hot:
-            k = len(f.one_hot[c])
-            out.append(("one_hot", c, f"One-hot encoded '{c}' ({k} unique values → {k} new boolean columns)"))
-    for c in f.kept:
-        if c in f.freq:
-            out.append(("frequency_encode", c, f"Frequency-encoded '{c}' ({f.freq_card[c]} unique values → relative frequency [0.0–1.0])"))
+            out.append(("impute_mode", c, f"unresolved: no value among the kept rows, nulls={k}" if v is None else f"mode={v} filled={k}"))
+    if f.encode_target:
+        out.append(("label_encode", f.target, f"classes={f.n_classes}"))
+    out += [("one_hot", c, f"columns={len(f.one_hot[c])}") for c in f.kept if c in f.one_hot]
+    out += [("frequency_encode", c, f"values={f.freq_card[c]}") for c in f.kept if c in f.freq]
     scaled = [c for c in f.kept if c in f.scale]
-    if scaled:
-        out.append(("scale", None, f"Applied StandardScaler to {len(scaled)} numeric feature(s): {scaled}"))
-    else:
-        out.append(("scale", None, "No numeric feature columns to scale"))
+    out.append(("scale", None, f"columns={','.join(scaled)}" if scaled else "none"))
     note = imbalance_note_text(f)
     if note:
         out.append(("imbalance_note", f.target, note))
@@ -486,10 +452,7 @@ def imbalance_note_text(f: CleanFit) -> str | None:
     if f.task != "classification" or f.imbalance_ratio is None:
         return None
     if f.imbalance_ratio > IMBALANCE_NOTE_RATIO or f.smote or f.class_weight:
-        return (
-            f"NOTE: Class imbalance — {f.imbalance_ratio:.2f}:1 ratio (majority:minority). "
-            "SMOTE/class_weight deferred to Training Agent."
-        )
+        return f"largest class {f.imbalance_ratio:.2f} times the smallest; resampling and weights are left to training"
     return None
 
 
@@ -513,7 +476,8 @@ def run(
 # ---------------------------------------------------------------------------
 
 def _features(df: DataFrame, target: str, keys: tuple[str, ...]) -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in df.schema.fields if is_flat(f.dataType) and f.name != target and f.name not in keys}
+    refuse_nested(df, keys)
+    return {f.name: f.dataType for f in df.schema.fields if f.name != target and f.name not in keys}
 
 
 def median_table(df: DataFrame, target: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -521,10 +485,12 @@ def median_table(df: DataFrame, target: str, keys: tuple[str, ...] = ()) -> Data
     with nulls among the rows whose target is present."""
     rows = df.where(col(target).isNotNull())
     nums = [c for c, dt in _features(df, target, keys).items() if is_numeric(dt)]
-    vc = value_counts(rows, nums, "double")
-    nulls = vc.where(F.col("value").isNull()).select("column_name", F.col("n").alias("nulls_filled"))
-    med = exact_quantiles(vc.join(nulls.select("column_name"), "column_name", "left_semi"), [0.5]).select("column_name", F.col("value").alias("median"))
-    return nulls.join(med, "column_name", "left").select("column_name", "median", "nulls_filled")
+    if not nums:
+        return df.sparkSession.createDataFrame([], "column_name string, median double, nulls_filled bigint")
+    n = rows.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.nanvl(col(c).cast("double"), F.lit(None))).alias(f"c{i}") for i, c in enumerate(nums)]).first()
+    gaps = {c: n["__n"] - n[f"c{i}"] for i, c in enumerate(nums) if n["__n"] > n[f"c{i}"]}
+    med = exact_quantiles(rows, {c: col(c) for c in gaps}, [0.5]) if gaps else {}
+    return df.sparkSession.createDataFrame([(c, med[c][0], k) for c, k in gaps.items()], "column_name string, median double, nulls_filled bigint")
 
 
 def mode_table(df: DataFrame, target: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -539,10 +505,10 @@ def mode_table(df: DataFrame, target: str, keys: tuple[str, ...] = ()) -> DataFr
 
 
 def label_mapping(df: DataFrame, target: str) -> DataFrame:
-    """CLN-3 / TRN-1 fit: (value, code) - sorted distinct classes -> 0..K-1.
-    The window runs over the distinct classes only."""
-    classes = df.where(col(target).isNotNull()).select(col(target).alias("value")).distinct()
-    return classes.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("code"))
+    """CLN-3 / TRN-1 fit: (value, code) - sorted distinct classes -> 0..K-1, by
+    a prefix count over range partitions of the distinct classes."""
+    classes = df.where(col(target).isNotNull()).select(F.lit(0).alias("__g"), col(target).alias("value"), F.lit(1).alias("__one")).distinct()
+    return weight_before(classes, "__g", "value", "__one").select("value", F.col("before").cast("long").alias("code"))
 
 
 def one_hot_encode(df: DataFrame, cols: list[str], limit: int = ONE_HOT_CARDINALITY_LIMIT) -> DataFrame:
@@ -567,16 +533,13 @@ def one_hot_encode(df: DataFrame, cols: list[str], limit: int = ONE_HOT_CARDINAL
 
 def frequency_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """CLN-5: value -> share of rows, via the value counts joined back on the
-    value (broadcast when the column's cardinality proves the map small)."""
+    value (nulls stay null and out of the join)."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     n_rows = df.agg(F.count(F.lit(1))).scalar()
     out = df
     for c in cols:
         vc = value_counts(df, [c], "string", {c: as_text(c, fields[c])}).where(F.col("value").isNotNull())
-        card = vc.count()
         m = vc.select(F.col("value").alias(f"__k_{c}"), (F.col("n").cast("double") / n_rows).alias(f"__f_{c}"))
-        if card <= BROADCAST_MAP_ROWS:
-            m = F.broadcast(m)
         out = out.join(m, as_text(c, fields[c]) == F.col(f"__k_{c}"), "left")
     return out.select(*[F.col(f"__f_{c}").alias(c) if c in cols else col(c) for c in df.columns])
 

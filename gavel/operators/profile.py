@@ -3,9 +3,9 @@ outliers, top categories, correlations, target analysis, planner facts and
 quality flags.
 
 Plan shape: one wide single-row aggregate for counts and moments (partial
-aggregation map-side, nothing shuffled but one row per task), and the
-value-count table for everything that needs distinct values (cardinality,
-top-k, quantiles). Windows only run over aggregated frames or with a
+aggregation map-side, nothing shuffled but one row per task), bracketing
+aggregates for exact quantiles, and the value-count table for what needs the
+values themselves (top-k). Windows only run over aggregated frames or with a
 ``row_number() <= k`` limit that Catalyst pushes below the shuffle.
 """
 
@@ -76,20 +76,25 @@ def categorical_value_counts(df: DataFrame) -> DataFrame:
     return value_counts(df, cats, "string", {c: as_text(c, fields[c]) for c in cats})
 
 
-def numeric_value_counts(df: DataFrame) -> DataFrame:
-    return value_counts(df, numeric_columns(df), "double")
-
-
 def cardinality(df: DataFrame, approx: bool = False) -> DataFrame:
-    """(column, cardinality): distinct non-null values per column. Exact by
-    the value-count tables; ``approx`` uses HLL++ in the single agg pass."""
+    """(column, cardinality): distinct non-null values per column. Exact: the
+    values of each column's own type, as text, are made distinct together (one
+    shuffle for all columns, combined map-side); ``approx`` uses HLL++ in a
+    single aggregate pass."""
     meta = _column_meta(df)
+    names = F.array(*[F.lit(c) for _i, c, _t in meta])
     if approx:
         agg = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c, _ in meta])
         rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").cast("long").alias("cardinality")) for i, c, _ in meta])
         return agg.select(F.inline(rows))
-    vc = categorical_value_counts(df).unionByName(numeric_value_counts(df).withColumn("value", F.col("value").cast("string")))
-    return vc.where(F.col("value").isNotNull()).groupBy("column_name").agg(F.count(F.lit(1)).alias("cardinality"))
+
+    def own_text(c: str, dt: T.DataType) -> Column:
+        x = col(c)  # 0.0 + x makes the two zeros of floating types one
+        return (x + F.lit(0.0).cast(dt)).cast("string") if isinstance(dt, (T.FloatType, T.DoubleType)) else x.cast("string")
+
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), own_text(c, dt).alias("value")) for k, (_i, c, dt) in enumerate(meta)])
+    seen = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    return seen.groupBy("k").agg(F.count(F.lit(1)).alias("cardinality")).select(F.element_at(names, F.col("k") + 1).alias("column_name"), "cardinality")
 
 
 def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -135,36 +140,30 @@ def profile_numeric(df: DataFrame) -> DataFrame:
     return agg.select(F.inline(rows))
 
 
-def iqr_bounds(vc_num: DataFrame) -> DataFrame:
-    """(column, q1, q3, lower, upper) from exact quartiles of the value counts."""
-    q = exact_quantiles(vc_num, [0.25, 0.75])
-    wide = q.groupBy("column_name").agg(
-        F.max(F.when(F.col("prob_idx") == 0, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("prob_idx") == 1, F.col("value"))).alias("q3"),
-    )
-    iqr = F.col("q3") - F.col("q1")
-    return wide.select("column_name", "q1", "q3", (F.col("q1") - IQR_FACTOR * iqr).alias("lower"), (F.col("q3") + IQR_FACTOR * iqr).alias("upper"))
+def iqr_bounds(df: DataFrame) -> dict[str, tuple[float, float, float, float]]:
+    """column -> (q1, q3, lower, upper) from exact quartiles, for the numeric
+    columns with a value (two numbers a column, kept on the driver)."""
+    q = exact_quantiles(df, {c: col(c) for c in numeric_columns(df)}, [0.25, 0.75])
+    return {c: (a, b, a - IQR_FACTOR * (b - a), b + IQR_FACTOR * (b - a)) for c, (a, b) in q.items() if a is not None}
 
 
-def outlier_counts(df: DataFrame, vc_num: DataFrame | None = None) -> DataFrame:
+def outlier_counts(df: DataFrame) -> DataFrame:
     """(column, q1, q3, lower, upper, outliers) for every numeric column with
-    at least one value. Counting runs on the value-count table (one row per
-    distinct value), joined to a bounds table of one row per column."""
-    vc_num = vc_num if vc_num is not None else numeric_value_counts(df)
-    bounds = iqr_bounds(vc_num)
-    outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
-    counts = (
-        vc_num.where(F.col("value").isNotNull())
-        .join(F.broadcast(bounds), "column_name")
-        .groupBy("column_name", "q1", "q3", "lower", "upper")
-        .agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).cast("long").alias("outliers"))
-    )
-    return counts
-
-
-def outliers_iqr(df: DataFrame, vc_num: DataFrame | None = None) -> DataFrame:
+    at least one value: one single-row aggregate once the bounds are known."""
+    bounds = iqr_bounds(df)
+    if not bounds:
+        return df.sparkSession.createDataFrame([], "column_name string, q1 double, q3 double, lower double, upper double, outliers bigint")
+    outside = [F.count_if((col(c).cast("double") < F.lit(lo)) | (col(c).cast("double") > F.lit(hi))).alias(f"o{i}") for i, (c, (_a, _b, lo, hi)) in enumerate(bounds.items())]
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"), F.lit(lo).alias("lower"), F.lit(hi).alias("upper"), F.col(f"o{i}").alias("outliers"))
+        for i, (c, (q1, q3, lo, hi)) in enumerate(bounds.items())
+    ])
+    return df.agg(*outside).select(F.inline(rows))
+
+
+def outliers_iqr(df: DataFrame) -> DataFrame:
     """AGG-4: columns with at least one IQR outlier."""
-    return outlier_counts(df, vc_num).where(F.col("outliers") > 0)
+    return outlier_counts(df).where(F.col("outliers") > 0)
 
 
 def top_categories(df: DataFrame, k: int = 5, vc_cat: DataFrame | None = None) -> DataFrame:
@@ -281,7 +280,7 @@ def target_histogram(df: DataFrame, target: str, bins: int = 10) -> DataFrame:
     one closed, edges as a linear space so that bin membership matches the
     reference histogram exactly. Empty when the rule does not apply.
 
-    min / max / distinct count are three scalars of one small job; binning
+    min / max / distinct estimate are three scalars of one small job; binning
     is then a map-side projection and the count a partially aggregated
     groupBy on at most ``bins`` keys."""
     spark = df.sparkSession
@@ -290,8 +289,11 @@ def target_histogram(df: DataFrame, target: str, bins: int = 10) -> DataFrame:
         return spark.createDataFrame([], schema)
     x = col(target).cast("double")
     vals = df.select(x.alias("v")).where(F.col("v").isNotNull())
-    st = vals.agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.count_distinct("v").alias("nd")).first()
-    if st["nd"] is None or st["nd"] <= HISTOGRAM_MIN_DISTINCT:
+    st = vals.agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.approx_count_distinct("v").alias("nd")).first()
+    # the sketch errs by a few per cent: far above the limit it decides, near it
+    # the values are few enough to be made distinct
+    few = st["nd"] < 10 * HISTOGRAM_MIN_DISTINCT
+    if few and vals.distinct().count() <= HISTOGRAM_MIN_DISTINCT:
         return spark.createDataFrame([], schema)
     mn, mx = float(st["mn"]), float(st["mx"])
     e0, e1 = (mn - 0.5, mx + 0.5) if mn == mx else (mn, mx)
@@ -393,13 +395,13 @@ def quality_flags(df: DataFrame, target: str, task: str) -> DataFrame:
     column with more than 5.0 % nulls, then the class-imbalance flag
     (classification) or the severe-skew flag (regression)."""
     nulls = column_nulls(df).select(
-        "column_name", "col_pos", (F.col("null_count") * 100.0 / F.col("n_rows")).alias("p")
+        "column_name", "col_pos", F.try_divide(F.col("null_count") * 100.0, F.col("n_rows").cast("double")).alias("p")
     )
     null_flags = nulls.where(F.col("p") > NULL_FLAG_PCT).select(
         F.col("col_pos").alias("flag_pos"),
         F.lit("null_rate").alias("kind"),
         "column_name",
-        F.format_string("High null rate in '%s': %.1f%% missing", F.col("column_name"), F.col("p")).alias("flag"),
+        F.format_string("%s: %.1f%% of the values are null", F.col("column_name"), F.col("p")).alias("flag"),
     )
     big = F.lit(1 << 40).cast("long")
     if task == "classification":
@@ -408,7 +410,7 @@ def quality_flags(df: DataFrame, target: str, task: str) -> DataFrame:
             big.alias("flag_pos"),
             F.lit("class_imbalance").alias("kind"),
             F.lit(target).alias("column_name"),
-            F.format_string("Class imbalance in target '%s': %.2f:1 ratio (majority:minority)", F.lit(target), F.col("imbalance_ratio")).alias("flag"),
+            F.format_string("%s: largest class %.2f times the smallest", F.lit(target), F.col("imbalance_ratio")).alias("flag"),
         )
     else:
         rs = regression_skew(df, target)
@@ -416,7 +418,7 @@ def quality_flags(df: DataFrame, target: str, task: str) -> DataFrame:
             big.alias("flag_pos"),
             F.lit("regression_skew").alias("kind"),
             F.lit(target).alias("column_name"),
-            F.format_string("Severe skew in target '%s': range=%.2f is more than 3x std=%.2f", F.lit(target), F.col("range"), F.col("std")).alias("flag"),
+            F.format_string("%s: range %.2f above three standard deviations of %.2f", F.lit(target), F.col("range"), F.col("std")).alias("flag"),
         )
     return null_flags.unionByName(tflag)
 

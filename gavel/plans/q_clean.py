@@ -48,7 +48,7 @@ def _null_share_sql(table: str, target: str) -> str:
     "clean_drop_columns",
     with_("gov_failing", _null_share_sql("gov_failing", TARGET))
     + """SELECT column_name, col_pos, round(null_share, 6) AS null_share,
-       printf('%.1f%% missing > 50%% threshold', null_share * 100) AS reason
+       printf('%.1f%% null, above 50%%', null_share * 100) AS reason
 FROM ns WHERE null_share > 0.5""",
 )
 def clean_drop_columns(spark, sf):
@@ -190,25 +190,21 @@ rd AS (SELECT count(*) - count(income) AS k, count(*) AS n FROM gov_failing),
 cc AS (SELECT income, count(*) AS n FROM gov_failing WHERE income IS NOT NULL GROUP BY income),
 acts AS (
   SELECT row_number() OVER (ORDER BY pos) - 1 AS seq, 'drop_column' AS step, c AS column_name,
-         printf('Dropped column ''%s'' (%.1f%% missing > 50%% threshold)', c, s * 100) AS detail
+         printf('%.1f%% null, above 50%%', s * 100) AS detail
   FROM ns WHERE s > 0.5
   UNION ALL
-  SELECT 3, 'drop_rows', 'income', printf('Dropped %,d rows with null target ''income'' (%.1f%% of rows)', k, CAST(k AS DOUBLE) * 100 / n) FROM rd
+  SELECT 3, 'drop_rows', 'income', printf('rows=%d share=%.3f', k, CAST(k AS DOUBLE) / n) FROM rd
   UNION ALL
-  SELECT 4, 'label_encode', 'income', 'Label-encoded target ''income'': ' || (SELECT string_agg('''' || v || '''→' || code, ', ' ORDER BY v)
-      FROM (SELECT income AS v, row_number() OVER (ORDER BY income) - 1 AS code FROM cc))
+  SELECT 4, 'label_encode', 'income', 'classes=' || count(*) FROM cc
   UNION ALL
-  SELECT 5, 'one_hot', 'gender', printf('One-hot encoded ''gender'' (%d unique values → %d new boolean columns)', k, k)
-  FROM (SELECT count(DISTINCT gender) AS k FROM gov_failing WHERE income IS NOT NULL)
+  SELECT 5, 'one_hot', 'gender', 'columns=' || count(DISTINCT gender) FROM gov_failing WHERE income IS NOT NULL
   UNION ALL
-  SELECT 6, 'one_hot', 'region', printf('One-hot encoded ''region'' (%d unique values → %d new boolean columns)', k, k)
-  FROM (SELECT count(DISTINCT region) AS k FROM gov_failing WHERE income IS NOT NULL)
+  SELECT 6, 'one_hot', 'region', 'columns=' || count(DISTINCT region) FROM gov_failing WHERE income IS NOT NULL
   UNION ALL
-  SELECT 7, 'scale', NULL, 'Applied StandardScaler to 4 numeric feature(s): [''balance'', ''total'', ''fee'', ''order_year'']'
+  SELECT 7, 'scale', NULL, 'columns=balance,total,fee,order_year'
   UNION ALL
   SELECT 8, 'imbalance_note', 'income',
-         printf('NOTE: Class imbalance — %.2f:1 ratio (majority:minority). SMOTE/class_weight deferred to Training Agent.',
-                CAST(max(n) AS DOUBLE) / min(n))
+         printf('largest class %.2f times the smallest; resampling and weights are left to training', CAST(max(n) AS DOUBLE) / min(n))
   FROM cc HAVING count(*) >= 2 AND (CAST(max(n) AS DOUBLE) / min(n) > 1.5))
 SELECT CAST(seq AS BIGINT) AS seq, step, column_name, detail FROM acts"""
 
@@ -224,7 +220,7 @@ def cleaning_actions(spark, sf):
     with_("gov_clean")
     + """, cc AS (SELECT income, count(*) AS n FROM gov_clean WHERE income IS NOT NULL GROUP BY income)
 SELECT round(CAST(max(n) AS DOUBLE) / min(n), 4) AS ratio,
-       printf('NOTE: Class imbalance — %.2f:1 ratio (majority:minority). SMOTE/class_weight deferred to Training Agent.', CAST(max(n) AS DOUBLE) / min(n)) AS note
+       printf('largest class %.2f times the smallest; resampling and weights are left to training', CAST(max(n) AS DOUBLE) / min(n)) AS note
 FROM cc HAVING count(*) >= 2 AND CAST(max(n) AS DOUBLE) / min(n) > 1.5""",
 )
 def imbalance_note(spark, sf):
@@ -267,7 +263,7 @@ def _report_sql(variant: str, dropped: list[str]) -> str:
     # a kept column keeps nulls only when it has no value at all after the row drop
     nulls_after = " + ".join(f"(CASE WHEN count({c}) = 0 THEN count(*) ELSE 0 END)" for c in feats)
     unhandled = " || ".join(
-        f"CASE WHEN CAST(count(*) - count({c}) AS DOUBLE) / count(*) >= 0.35 THEN '{c} (' || printf('%.1f', CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*)) || '% missing), ' ELSE '' END"
+        f"CASE WHEN CAST(count(*) - count({c}) AS DOUBLE) / count(*) >= 0.35 THEN '{c} (' || printf('%.1f', CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*)) || '% null), ' ELSE '' END"
         for c, *_r in GOV_COLUMNS
         if c not in dropped and c not in ("order_id", "income")
     )

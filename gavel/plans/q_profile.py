@@ -64,13 +64,19 @@ def _iqr_out(df):
     return df.select("column_name", *[F.round(c, 4).alias(c) for c in ("q1", "q3", "lower", "upper")], "outliers")
 
 
+# a heavy-tailed column: the cube of a balance has values beyond the fences
+_CUBED = "cubed AS (SELECT order_id, balance * balance * balance AS cube, total, order_year FROM gov_clean)"
+_cubed_iqr = _iqr_cte.replace(long_values(T, NUMERIC, True), long_values("cubed", ["order_id", "cube", "total", "order_year"], True))
+
+
 @query(
     "outliers_iqr",
-    with_(T, _iqr_cte)
+    with_(T, _CUBED, _cubed_iqr)
     + "SELECT column_name, round(q1, 4) AS q1, round(q3, 4) AS q3, round(lower, 4) AS lower, round(upper, 4) AS upper, outliers FROM o WHERE outliers > 0",
 )
 def outliers_iqr(spark, sf):
-    return _iqr_out(P.outliers_iqr(fx.gov_clean(spark, sf)))
+    b = F.col("balance")
+    return _iqr_out(P.outliers_iqr(fx.gov_clean(spark, sf).select("order_id", (b * b * b).alias("cube"), "total", "order_year")))
 
 
 @query(
@@ -258,11 +264,11 @@ def _null_flag_sql(table: str) -> str:
     with_(T, _null_flag_sql(T))
     + f""", vc AS (SELECT income, count(*) AS n FROM {T} WHERE income IS NOT NULL GROUP BY income),
 ci AS (SELECT CASE WHEN count(*) >= 2 THEN round(CAST(max(n) AS DOUBLE) / min(n), 2) ELSE 1.0 END AS ratio FROM vc)
-SELECT flag_pos, 'null_rate' AS kind, column_name, printf('High null rate in ''%s'': %.1f%% missing', column_name, p) AS flag
+SELECT flag_pos, 'null_rate' AS kind, column_name, printf('%s: %.1f%% of the values are null', column_name, p) AS flag
 FROM np WHERE p > 5.0
 UNION ALL
 SELECT CAST(1099511627776 AS BIGINT) AS flag_pos, 'class_imbalance' AS kind, 'income' AS column_name,
-       printf('Class imbalance in target ''income'': %.2f:1 ratio (majority:minority)', ratio) AS flag
+       printf('income: largest class %.2f times the smallest', ratio) AS flag
 FROM ci WHERE ratio > 1.5""",
 )
 def quality_flags(spark, sf):
@@ -273,11 +279,11 @@ def quality_flags(spark, sf):
     "quality_flags_regression",
     with_("gov_failing", _null_flag_sql("gov_failing"))
     + """, s AS (SELECT round(stddev_samp(total), 4) AS std, round(max(total), 4) - round(min(total), 4) AS range FROM gov_failing)
-SELECT flag_pos, 'null_rate' AS kind, column_name, printf('High null rate in ''%s'': %.1f%% missing', column_name, p) AS flag
+SELECT flag_pos, 'null_rate' AS kind, column_name, printf('%s: %.1f%% of the values are null', column_name, p) AS flag
 FROM np WHERE p > 5.0
 UNION ALL
 SELECT CAST(1099511627776 AS BIGINT) AS flag_pos, 'regression_skew' AS kind, 'total' AS column_name,
-       printf('Severe skew in target ''total'': range=%.2f is more than 3x std=%.2f', range, std) AS flag
+       printf('total: range %.2f above three standard deviations of %.2f', range, std) AS flag
 FROM s WHERE std > 0 AND range > 3 * std""",
 )
 def quality_flags_regression(spark, sf):
@@ -285,10 +291,14 @@ def quality_flags_regression(spark, sf):
 
 
 # ---------------------------------------------------------------- PRJ-5
-_kw = " OR ".join(f"contains(lower(column_name), '{k}')" for k in P.SENSITIVE_KEYWORDS)
-_names_sql = "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, CAST({i} AS BIGINT) AS col_pos" for i, (c, *_r) in enumerate(GOV_COLUMNS))
-
-
-@query("sensitive_hint", f"WITH names AS ({_names_sql}) SELECT column_name, col_pos FROM names WHERE {_kw}")
+@query(
+    "sensitive_hint",
+    """WITH names AS (SELECT DISTINCT w AS column_name FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)),
+k AS (SELECT unnest(['gender', 'sex', 'race', 'ethnicity', 'nationality', 'religion', 'age', 'disability', 'marital',
+                     'zip', 'postal', 'income', 'education', 'occupation']) AS word)
+SELECT DISTINCT column_name, CAST(length(column_name) AS BIGINT) AS col_pos FROM names JOIN k ON contains(lower(column_name), word)""",
+)
 def sensitive_hint(spark, sf):
-    return P.sensitive_hint(P.column_nulls(fx.gov_clean(spark, sf)))
+    """PRJ-5 over as many names as the documents have words."""
+    words = fx.read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("column_name")).distinct()
+    return P.sensitive_hint(words.withColumn("col_pos", F.length("column_name").cast("long")))

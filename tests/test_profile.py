@@ -67,3 +67,23 @@ def test_profile_invariant_under_repartitioning(spark, sf_small):
     a = sorted(map(tuple, P.profile_columns(df).collect()))
     b = sorted(map(tuple, P.profile_columns(df.repartition(5, F.col("segment"))).collect()))
     assert a == b
+
+
+def test_cardinality_of_long_ids_is_exact(spark):
+    df = spark.createDataFrame([(2**53, 0.0), (2**53 + 1, -0.0), (2**53 + 1, 1.0), (None, None)], "id long, x double")
+    got = {r["column_name"]: r["cardinality"] for r in P.profile_columns(df).collect()}
+    assert got == {"id": 2, "x": 2}
+
+
+def test_empty_and_all_null_tables(spark):
+    for rows in ([], [(None, None)]):
+        df = spark.createDataFrame(rows, "x double, t string")
+        assert P.profile_columns(df).count() == 2 and P.outlier_counts(df).count() == 0
+        assert P.summary(df).first()["outlier_columns_count"] == 0
+        assert {f["kind"] for f in P.quality_flags(df, "t", "classification").collect()} <= {"null_rate"}
+
+
+def test_outliers_are_counted(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(100)] + [(1000.0, 1.0), (-1000.0, 1.0)], "x double, y double")
+    got = {r["column_name"]: r["outliers"] for r in P.outliers_iqr(df).collect()}
+    assert got == {"x": 2}

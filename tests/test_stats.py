@@ -7,31 +7,34 @@ from pyspark.sql import functions as F
 from gavel.functions import scan, stats
 
 
-def test_exact_quantiles_both_paths_match_numpy(spark):
+def test_exact_quantiles_match_numpy(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    a = np.round(rng.exponential(3.0, 2000), 1)
-    b = rng.integers(0, 50, 2000).astype(float)
-    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
-    vc = stats.value_counts(df, ["a", "b"], "double")
+    cols = {
+        "a": np.round(rng.exponential(3.0, 3000), 1),
+        "b": rng.integers(0, 50, 3000).astype(float),
+        "c": rng.normal(0, 1e9, 3000),
+        "d": np.where(rng.random(3000) < 0.5, 0.0, 1.0),  # two values, each half
+        "e": np.full(3000, 7.0),
+    }
+    rows = [tuple(float(cols[c][i]) for c in cols) + (None if i else 5.0, float("nan")) for i in range(3000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*cols, "one", "none"])).repartition(5)
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    small = {(r["column_name"], r["prob_idx"]): r["value"] for r in stats.exact_quantiles(vc, probs).collect()}
-    big = {(r["column_name"], r["prob_idx"]): r["value"] for r in stats.exact_quantiles(vc, probs, distinct={"a": 10**9, "b": 10**9}).collect()}
-    for col, arr in (("a", a), ("b", b)):
-        for i, p in enumerate(probs):
-            want = np.quantile(arr, p)
-            assert abs(small[(col, i)] - want) < 1e-9
-            assert abs(big[(col, i)] - want) < 1e-9
+    exprs = {c: F.col(c) for c in [*cols, "one", "none"]}
+    for bracket in (10_000, 40):  # the small bracket forces the narrowing rounds
+        monkeypatch.setattr(stats, "BRACKET", bracket)
+        got = stats.exact_quantiles(df, exprs, probs)
+        for c, arr in cols.items():
+            assert got[c] == [np.quantile(arr, p) for p in probs], (c, bracket)
+        assert got["one"] == [5.0] * 6 and got["none"] == [None] * 6
 
 
 def test_weight_before_matches_window(spark):
     rows = [(g, float(v), int(w)) for g in ("x", "y") for v, w in zip(range(40), [1, 3, 2, 5] * 10)]
     df = spark.createDataFrame(rows, "g string, v double, w long")
-    got = {(r["g"], r["v"]): r["before"] for r in stats.weight_before(df, "g", "v", "w", partitions=5, bounded=False).collect()}
-    got_b = {(r["g"], r["v"]): r["before"] for r in stats.weight_before(df, "g", "v", "w").collect()}
-    assert got == got_b
     w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     want = {(r["g"], r["v"]): r["b"] for r in df.select("g", "v", F.coalesce(F.sum("w").over(w), F.lit(0)).alias("b")).collect()}
-    assert got == want
+    for parts in (1, 5):
+        assert {(r["g"], r["v"]): r["before"] for r in stats.weight_before(df, "g", "v", "w", partitions=parts).collect()} == want
 
 
 def test_chunked_scans_match_plain_windows(spark):
@@ -45,8 +48,7 @@ def test_chunked_scans_match_plain_windows(spark):
         F.last("val", ignorenulls=True).over(w_prev).alias("last"),
         F.lag("seq").over(Window.partitionBy("key").orderBy("seq")).alias("prev"),
     )
-    d = scan.running_sum(df, "key", "seq", F.col("flag"), "cum", chunk=7)
-    d = scan.last_before(d, "key", "seq", F.col("val"), "last", chunk=7)
+    d = scan.prefix_scan(df, "key", "seq", {"cum": F.col("flag")}, {"last": F.col("val")}, chunk=7)
     d = scan.previous_value(d, "key", "seq", "seq", "prev", chunk=7)
     got = {r["seq"]: (r["cum"], r["last"], r["prev"]) for r in d.collect()}
     exp = {r["seq"]: (r["cum"], r["last"], r["prev"]) for r in want.collect()}

@@ -163,8 +163,8 @@ def resolve(names: DataFrame) -> DataFrame:
     key = registry_key(F.col("name"))
     d = names.withColumn("matched_key", key).withColumn("implementation", _impl(F.col("matched_key"), F.col("task")))
     reason = (
-        F.when(F.col("matched_key").isNull(), F.format_string("No registry entry matching '%s'", F.col("name")))
-        .when(F.col("implementation").isNull(), F.format_string("'%s' has no %s implementation", F.col("name"), F.col("task")))
+        F.when(F.col("matched_key").isNull(), F.concat(F.lit("unknown model: "), F.col("name")))
+        .when(F.col("implementation").isNull(), F.concat(F.col("name"), F.lit(": not for "), F.col("task")))
     )
     return d.withColumn("skip_reason", reason)
 

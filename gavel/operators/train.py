@@ -3,9 +3,8 @@
 Splits are deterministic hash splits (no sampling, no shuffle): a row is in
 the test side when ``md5('<seed>|' || key)`` is below the 20 % point of the
 hash space. The stratified variant takes, per class, the ``ceil(0.2 n_c)``
-rows with the smallest hash; ranks come from ``weight_before`` - a window per
-class only when every class is proven small, a range-partitioned prefix sum
-otherwise (never a window over a huge class).
+rows with the smallest hash; ranks come from ``weight_before``, a
+range-partitioned prefix sum (never a window over a whole class).
 
 Model mapping (regularisation as in the reference's estimators):
 logistic C=1 -> regParam 1/n, no standardisation; random forest 100 trees;
@@ -19,7 +18,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +51,14 @@ def hash_split(df: DataFrame, key: str, frac: float = TEST_FRACTION, seed: int =
 
 def stratified_split(df: DataFrame, key: str, label: str, frac: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
     """Adds ``is_test``: per class, the ceil(frac * n_class) rows with the
-    smallest hash key."""
-    h = df.withColumn("__hk", split_key(key, seed)).withColumn("__cls", col(label).cast("string")).withColumn("__one", F.lit(1))
-    ranked = weight_before(h, "__cls", "__hk", "__one")
-    sizes = ranked.groupBy("__cls").agg(F.ceil(F.count(F.lit(1)) * frac).alias("__k"))
-    out = ranked.join(F.broadcast(sizes), "__cls").withColumn("is_test", F.col("before") < F.col("__k"))
-    return out.drop("__hk", "__cls", "__one", "before", "__k")
+    smallest hash key. Only (class, hash) is ranked; the last hash of each
+    class's test side is then looked up by class."""
+    marked = df.withColumn("__hk", split_key(key, seed)).withColumn("__cls", F.coalesce(col(label).cast("string"), F.lit("")))
+    hashes = marked.groupBy("__cls", "__hk").agg(F.count(F.lit(1)).alias("__one"))
+    ranked = weight_before(hashes, "__cls", "__hk", "__one")
+    sizes = ranked.groupBy("__cls").agg(F.ceil(F.sum("__one") * frac).alias("__k"))
+    last = ranked.join(sizes, "__cls").where(F.col("before") < F.col("__k")).groupBy("__cls").agg(F.max("__hk").alias("__last"))
+    return marked.join(last, "__cls", "left").withColumn("is_test", F.coalesce(F.col("__hk") <= F.col("__last"), F.lit(False))).drop("__hk", "__cls", "__last")
 
 
 # ---------------------------------------------------------------------------
@@ -69,38 +70,46 @@ def feature_columns(df: DataFrame, target: str, keys: tuple[str, ...] = ()) -> l
 
 
 def prepare(df: DataFrame, target: str, keys: tuple[str, ...], task: str, classes: DataFrame | None = None) -> DataFrame:
-    """PRJ-7 / PRJ-8 / TRN-1: booleans as 0/1, label as double (classes
-    re-encoded to 0..K-1 by sorted value), features assembled."""
+    """PRJ-7 / PRJ-8 / TRN-1: (row, is_test, label, features). ``row`` holds the
+    cleaned row itself, so predictions can be audited without a join back.
+    Booleans enter the features as 0/1, NULL as NaN; with ``classes`` (value,
+    code) the label is the code 0..K-1 of the sorted class values."""
     feats = feature_columns(df, target, keys)
-    proj = [col(c).cast("double").alias(c) for c in feats]
+    vector = array_to_vector(F.array(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in feats]))
+    rows = df.select(F.struct(*[col(c) for c in df.columns if c != "is_test"]).alias("row"), (F.col("is_test") if "is_test" in df.columns else F.lit(False)).alias("is_test"), col(target).alias("__t"), vector.alias("features"))
     if task == "classification" and classes is not None:
-        d = df.join(F.broadcast(classes.withColumnRenamed("value", "__lv")), col(target) == F.col("__lv"), "left")
-        lab = F.col("code").cast("double")
+        codes = classes.select(F.col("value").alias("__v"), F.col("code"))
+        rows = rows.join(codes, F.col("__t") == F.col("__v"), "left")
+        label = F.col("code")
     else:
-        d = df
-        lab = col(target).cast("double")
-    keep = [col(k) for k in keys] + ([F.col("is_test")] if "is_test" in df.columns else [])
-    out = d.select(*keep, *proj, lab.alias("label"))
-    return VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep").transform(out)
+        label = F.col("__t")
+    return rows.select("row", "is_test", label.cast("double").alias("label"), "features")
 
 
-def estimator(impl: str, task: str, n_train: int, n_classes: int = 2, y_std: float | None = None):
+# Spark ML's trees go no deeper than 30; the forests of the reference have no
+# depth limit. Deep trees of small nodes are what makes forests slow, so the
+# depth is a parameter. MAX_BINS bounds the split candidates of a feature.
+MAX_DEPTH = 30
+MAX_BINS = 32
+
+
+def estimator(impl: str, task: str, n_train: int, n_classes: int = 2, y_std: float | None = None, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS):
     if task == "classification":
         if impl == "logistic":
             # tol 1e-4: the convergence tolerance of the reference estimator
             return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, family="auto", tol=1e-4)
         if impl == "random_forest":
-            return RandomForestClassifier(numTrees=100, seed=SEED, maxDepth=10)
+            return RandomForestClassifier(numTrees=100, seed=SEED, maxDepth=max_depth, maxBins=max_bins)
         if impl in ("gbt_deep", "gbt_shallow"):
             depth, rate = (6, 0.3) if impl == "gbt_deep" else (3, 0.1)
-            g = GBTClassifier(maxIter=100, maxDepth=depth, stepSize=rate, seed=SEED)
+            g = GBTClassifier(maxIter=100, maxDepth=depth, stepSize=rate, seed=SEED, maxBins=max_bins)
             return g if n_classes <= 2 else OneVsRest(classifier=g)
     else:
         if impl == "random_forest":
-            return RandomForestRegressor(numTrees=100, seed=SEED, maxDepth=10)
+            return RandomForestRegressor(numTrees=100, seed=SEED, maxDepth=max_depth, maxBins=max_bins)
         if impl in ("gbt_deep", "gbt_shallow"):
             depth, rate = (6, 0.3) if impl == "gbt_deep" else (3, 0.1)
-            return GBTRegressor(maxIter=100, maxDepth=depth, stepSize=rate, seed=SEED)
+            return GBTRegressor(maxIter=100, maxDepth=depth, stepSize=rate, seed=SEED, maxBins=max_bins)
         if impl == "ridge":
             return LinearRegression(elasticNetParam=0.0, regParam=(y_std or 1.0) / max(n_train, 1), solver="normal", standardization=False)
         if impl == "lasso":
@@ -108,11 +117,13 @@ def estimator(impl: str, task: str, n_train: int, n_classes: int = 2, y_std: flo
     raise ValueError(f"no {task} implementation {impl!r}")
 
 
-def fit(train: DataFrame, impl: str, task: str, n_classes: int = 2):
-    """Fit one candidate on a prepared frame (label, features)."""
-    n = train.count()
-    y_std = train.agg(F.stddev_pop("label")).first()[0] if impl == "ridge" else None
-    return estimator(impl, task, n, n_classes, y_std).fit(train)
+def fit(train: DataFrame, impl: str, task: str, n_classes: int | None = None, **options):
+    """Fit one candidate on a prepared frame (label, features). One aggregate
+    gives the row count, the label deviation and the number of classes."""
+    r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd"), F.max("label").alias("top")).first()
+    if n_classes is None:
+        n_classes = int(r["top"] or 0) + 1 if task == "classification" else 2
+    return estimator(impl, task, r["n"], n_classes, r["sd"], **options).fit(train)
 
 
 def predictions(model, df: DataFrame, name: str, task: str) -> DataFrame:

@@ -188,11 +188,11 @@ def leaderboard(spark, sf):
 @query(
     "leaderboard_view",
     plan_with(_lb_sql())
-    + """SELECT run_id, rank, model_name, CASE WHEN selected THEN '⭐ Winner' ELSE '' END AS selection,
-       CASE WHEN accuracy IS NULL THEN 'N/A' ELSE printf('%.4f', accuracy) END AS accuracy,
-       CASE WHEN f1 IS NULL THEN 'N/A' ELSE printf('%.4f', f1) END AS f1,
-       CASE WHEN auc_roc IS NULL THEN 'N/A' ELSE printf('%.4f', auc_roc) END AS auc_roc,
-       CASE WHEN trained_successfully THEN 'Trained' ELSE 'Failed' END AS status
+    + """SELECT run_id, rank, model_name, CASE WHEN selected THEN 'selected' ELSE '' END AS selection,
+       CASE WHEN accuracy IS NULL THEN '-' ELSE printf('%.4f', accuracy) END AS accuracy,
+       CASE WHEN f1 IS NULL THEN '-' ELSE printf('%.4f', f1) END AS f1,
+       CASE WHEN auc_roc IS NULL THEN '-' ELSE printf('%.4f', auc_roc) END AS auc_roc,
+       CASE WHEN trained_successfully THEN 'trained' ELSE 'failed' END AS status
 FROM lbs""",
 )
 def leaderboard_view(spark, sf):

@@ -3,9 +3,10 @@ run: cleaned ``gov`` -> hash split -> model -> fairness report."""
 
 from __future__ import annotations
 
-import itertools
+import uuid
 
-from pyspark.ml import PipelineModel
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from gavel.operators import evaluate as E
 from gavel.operators import explain as X
 from gavel.operators import fairness as FA
 from gavel.operators import train as TR
+from gavel.plans.q_clean import DOMAINS
 from gavel.plans.registry import query
 from gavel.plans.sql import with_
 from gavel.session import shared_path
@@ -21,11 +23,13 @@ from gavel.sources import fixtures as fx
 from gavel.sources import io
 
 KEYS = ("order_id",)
-_counter = itertools.count()
+# Depth of the forests in the registered queries (the library's default is the
+# deepest Spark allows, see train.MAX_DEPTH): keeps a run short on a few cores.
+FOREST_DEPTH = 10
 
 
 def _fresh(spark, *parts: str) -> str:
-    return shared_path(spark, *parts, f"m{next(_counter)}-{spark.sparkContext.applicationId}")
+    return shared_path(spark, *parts, uuid.uuid4().hex)
 
 
 def cleaned_split(spark, sf, task: str = "classification", variant: str = "gov_clean"):
@@ -44,11 +48,15 @@ def cleaned_split(spark, sf, task: str = "classification", variant: str = "gov_c
     return res, cleaned, prepared, feats
 
 
+def _fit(train: DataFrame, impl: str, task: str):
+    return TR.fit(train, impl, task, **({"max_depth": FOREST_DEPTH} if impl == "random_forest" else {}))
+
+
 def _metrics_row(spark, sf, impl: str, task: str) -> DataFrame:
     _res, _c, prepared, _f = cleaned_split(spark, sf, task)
     train = prepared.where(~F.col("is_test"))
     test = prepared.where(F.col("is_test"))
-    model = TR.fit(train, impl, task)
+    model = _fit(train, impl, task)
     p = TR.predictions(model, test, impl, task)
     return E.classification_metrics(p) if task == "classification" else E.regression_metrics(p)
 
@@ -92,16 +100,69 @@ def target_contiguous(spark, sf):
     return C.label_mapping(fx.gov(spark, sf), "order_year")
 
 
+# ---------------------------------------------------------------- TRN-5, TRN-9: optimality of the fitted weights
+# The estimators' objectives are convex, so the fitted weights are right when
+# the gradient over the training rows is zero (within the solver's tolerance).
+_MODEL_FEATURES = ["nation", "balance", "fee", "order_year", "express", *[f"{c}_{v}" for c in ("segment", "gender", "region", "priority") for v in DOMAINS[c]]]
+
+
+def _gradient_sql(target: str) -> str:
+    names = [*_MODEL_FEATURES, {"income": "total", "total": "income"}[target]] if target == "income" else [*_MODEL_FEATURES, "income_<=50K", "income_>50K"]
+    return "SELECT feature, 0.0::DOUBLE AS gap FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS feature) WHERE (SELECT count(*) FROM orders) > 0"
+
+
+def _gradient(spark, sf, impl: str, task: str) -> DataFrame:
+    """(feature, gap): how far each weight is from its optimality condition, in
+    units of the label's deviation a row, 3 dp."""
+    _res, _c, prepared, feats = cleaned_split(spark, sf, task)
+    train = prepared.where(~F.col("is_test")).persist()
+    model = _fit(train, impl, task)
+    w = model.coefficients.toArray()
+    dot = F.aggregate(F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(float(model.intercept)), lambda a, b: a + b)
+    guess = F.lit(1.0) / (F.lit(1.0) + F.exp(-dot)) if impl == "logistic" else dot
+    rows = train.select(vector_to_array("features").alias("x"), (F.col("label") - guess).alias("r"), "label")
+    st = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd"), *[F.sum(F.element_at("x", j + 1) * F.col("r")).alias(f"g{j}") for j in range(len(w))]).first()
+    train.unpersist()
+    out = []
+    for j, name in enumerate(feats):
+        g = st[f"g{j}"] / st["n"]
+        if impl == "lasso":  # 1/(2n) |r|^2 + 0.1 |w|
+            gap = abs(g - 0.1 * np.sign(w[j])) if w[j] else max(0.0, abs(g) - 0.1)
+        else:  # sums of losses + 1/2 |w|^2
+            gap = abs(g - w[j] / st["n"])
+        out.append((name, round(float(gap) / (1.0 if impl == "logistic" else st["sd"]), 3)))
+    return spark.createDataFrame(out, "feature string, gap double")
+
+
+@query("train_logistic_gradient", _gradient_sql("income"))
+def train_logistic_gradient(spark, sf):
+    return _gradient(spark, sf, "logistic", "classification")
+
+
+@query("train_ridge_gradient", _gradient_sql("total"))
+def train_ridge_gradient(spark, sf):
+    return _gradient(spark, sf, "ridge", "regression")
+
+
+@query("train_lasso_gradient", _gradient_sql("total"))
+def train_lasso_gradient(spark, sf):
+    return _gradient(spark, sf, "lasso", "regression")
+
+
 # ---------------------------------------------------------------- SRC-4
-@query("model_roundtrip_predict")
+@query(
+    "model_roundtrip_predict",
+    with_("gov") + "SELECT count(*) AS test_rows, 0::BIGINT AS changed FROM gov WHERE md5('42|' || CAST(order_id AS VARCHAR)) < '33333333'",
+)
 def model_roundtrip_predict(spark, sf):
-    _res, cleaned, prepared, feats = cleaned_split(spark, sf)
+    """Predictions of a model and of its reloaded copy over the test side."""
+    _res, _cleaned, prepared, _feats = cleaned_split(spark, sf)
     model = TR.fit(prepared.where(~F.col("is_test")), "logistic", "classification")
-    path = _fresh(spark, "models", "logistic")
-    io.save_model(TR.as_pipeline(model, feats), path)
-    back = PipelineModel.load(path)
-    test = cleaned.where(F.col("is_test")).select("order_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in feats])
-    return back.transform(test).select("order_id", F.col("prediction").cast("long").alias("pred"))
+    path = _fresh(spark, "models")
+    io.save_model(model, path)
+    back = io.load_model(path, type(model))
+    before = model.transform(prepared.where(F.col("is_test"))).select("features", F.col("prediction").alias("before"))
+    return back.transform(before).agg(F.count(F.lit(1)).alias("test_rows"), F.count_if(F.col("before") != F.col("prediction")).alias("changed"))
 
 
 # ---------------------------------------------------------------- TRN-14 / TRN-16 (fixed weights)
@@ -141,21 +202,13 @@ def shap_top5(spark, sf):
 
 
 # ---------------------------------------------------------------- TRN-15
-SHAP_SAMPLE = 200  # explanation sample of the reference (hash order, seed 42)
-
-
 @query("shap_tree")
 def shap_tree(spark, sf):
-    """Top-5 TreeSHAP features of the random forest on the first 200 test
-    rows in hash order (the reference's explanation sample)."""
-    _res, cleaned, prepared, feats = cleaned_split(spark, sf)
-    model = TR.fit(prepared.where(~F.col("is_test")), "random_forest", "classification")
-    path = _fresh(spark, "models", "rf")
-    model.write().overwrite().save(path)
-    trees = X.trees_from_saved(spark, path, classification=True)
-    sample = prepared.where(F.col("is_test")).orderBy(TR.split_key("order_id")).limit(SHAP_SAMPLE)
-    phi = X.tree_attributions(spark, sample, "features", trees, average=True, n_features=len(feats))
-    return X.top_features(X.mean_abs(phi, feats), 5)
+    """Top-5 TreeSHAP features of the random forest over the whole test side."""
+    _res, _cleaned, prepared, feats = cleaned_split(spark, sf)
+    train, test = prepared.where(~F.col("is_test")), prepared.where(F.col("is_test"))
+    model = _fit(train, "random_forest", "classification")
+    return X.top_features(X.explain(spark, model, test, train, feats, _fresh(spark, "models")), 5)
 
 
 # ---------------------------------------------------------------- flagship
@@ -164,12 +217,15 @@ FLAGSHIP_CANDIDATES = ["gender", "region", "segment", "priority", "nation", "exp
 
 def fairness_run(spark, sf, impl: str = "logistic"):
     """Cleaned gov -> hash split -> fit -> predictions over the whole cleaned
-    table -> fairness report (report, overall, skipped)."""
-    _res, cleaned, prepared, feats = cleaned_split(spark, sf)
-    model = TR.fit(prepared.where(~F.col("is_test")), impl, "classification")
-    scored = model.transform(prepared).select("order_id", F.col("prediction").cast("int").alias("pred"))
-    audited = cleaned.join(scored, "order_id")
-    return FA.audit(audited, FLAGSHIP_CANDIDATES, "income", "classification")
+    table -> fairness report (report, overall, skipped). Groups and predictions
+    come from the same rows."""
+    _res, _cleaned, prepared, _feats = cleaned_split(spark, sf)
+    prepared = prepared.persist()
+    model = _fit(prepared.where(~F.col("is_test")), impl, "classification")
+    scored = model.transform(prepared).select("row.*", F.col("prediction").cast("int").alias("pred"))
+    out = FA.audit(scored, FLAGSHIP_CANDIDATES, "income", "classification")
+    prepared.unpersist()
+    return out
 
 
 @query("fairness_report")

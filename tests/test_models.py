@@ -1,16 +1,16 @@
-"""TreeSHAP exactness and the model round trip."""
+"""Attributions of every model class, and splits."""
 
 import itertools
+import uuid
 from math import factorial
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
+import pytest
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from gavel.operators import explain as X
-from gavel.plans.q_model import cleaned_split
+from gavel.operators import train as TR
 from gavel.session import shared_path
 
 
@@ -46,24 +46,60 @@ def test_tree_shap_matches_brute_force():
             assert abs(phi[r, i] - v) < 1e-12
 
 
-def test_tree_shap_local_accuracy_on_spark_models(spark, sf_small):
-    _r, _c, prepared, feats = cleaned_split(spark, sf_small)
-    train = prepared.where(~F.col("is_test"))
-    rows = prepared.where(F.col("is_test")).limit(30)
-    for name, est, cls, avg in (
-        ("rf", RandomForestClassifier(numTrees=5, maxDepth=4, seed=42), True, True),
-        ("gbt", GBTRegressor(maxIter=4, maxDepth=3, seed=42), False, False),
-    ):
-        model = est.fit(train)
-        path = shared_path(spark, "tests", f"{name}-{spark.sparkContext.applicationId}")
-        model.write().overwrite().save(path)
-        trees = X.trees_from_saved(spark, path, classification=cls)
-        out = model.transform(rows).select(
-            vector_to_array("features").alias("x"),
-            (F.element_at(vector_to_array("probability"), 2) if cls else F.col("prediction")).alias("y"),
-        ).toPandas()
-        phi, base = X.shap_values(trees, np.stack(out["x"].to_numpy()), avg)
-        assert np.abs(phi.sum(1) + base - out["y"].to_numpy()).max() < 1e-9
-        # distributed path gives the same attributions
-        d = X.tree_attributions(spark, model.transform(rows), "features", trees, avg, len(feats)).toPandas()
-        assert np.allclose(np.stack(d["phi"].to_numpy()).sum(), phi.sum())
+def _prepared(spark, rows, task, classes=None):
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y double")
+    return TR.prepare(TR.with_split(df, "k"), "y", ("k",), task, classes)
+
+
+def _rows(label):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    return [(i, *map(float, v), float(label(v))) for i, v in enumerate(x)]
+
+
+BINARY = lambda v: v[0] + 0.5 * v[1] * v[2] > 0
+THREE = lambda v: (v[0] > 0.3) + (v[0] + v[1] > 0.8)
+
+
+@pytest.mark.parametrize("impl,task,label", [
+    ("random_forest", "classification", BINARY), ("random_forest", "classification", THREE),
+    ("gbt_shallow", "classification", BINARY), ("gbt_shallow", "regression", lambda v: v[0] * v[1]),
+    ("random_forest", "regression", lambda v: v[0] * v[1]),
+])
+def test_tree_attributions_add_up(spark, impl, task, label):
+    """Local accuracy for every kind of tree model: attributions and base value
+    sum to the model's output."""
+    data = _prepared(spark, _rows(label), task)
+    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
+    model = TR.fit(train, impl, task, max_depth=4)
+    path = shared_path(spark, "tests", f"{impl}-{task}-{uuid.uuid4().hex}")
+    X.explain(spark, model, test, train, ["a", "b", "c"], path).collect()
+    scored = model.transform(test)
+    if task == "regression":
+        outs = {None: F.col("prediction")}
+    elif impl == "random_forest":
+        outs = {k: F.element_at(vector_to_array("probability"), k + 1) for k in range(model.numClasses)}
+    else:  # boosted classifiers: the margin, half of the raw prediction's spread
+        outs = {None: F.element_at(vector_to_array("rawPrediction"), 2)}
+    for k, y in outs.items():
+        trees = X.node_tables(spark, path, k)
+        got = scored.select(vector_to_array("features").alias("x"), y.alias("y")).toPandas()
+        phi, base = X.shap_values(trees, np.stack(got["x"].to_numpy()), impl == "random_forest")
+        assert np.abs(phi.sum(axis=1) + base - got["y"].to_numpy()).max() < 1e-6
+        spread = X.tree_attributions(spark, test, "features", trees, impl == "random_forest", 3).toPandas()
+        assert np.allclose(np.abs(np.stack(spread["phi"].to_numpy())).mean(axis=0), np.abs(phi).mean(axis=0))
+
+
+def test_explanations_by_model_class(spark):
+    for impl, task, label in (("logistic", "classification", THREE), ("logistic", "classification", BINARY), ("ridge", "regression", lambda v: 3 * v[0]), ("gbt_shallow", "classification", THREE)):
+        data = _prepared(spark, _rows(label), task)
+        train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
+        model = TR.fit(train, impl, task, **({"max_depth": 3} if impl == "x" else {}))
+        got = X.explain(spark, model, test, train, ["a", "b", "c"], shared_path(spark, "tests", uuid.uuid4().hex)).toPandas().set_index("feature").importance
+        assert len(got) == 3 and got["a"] == got.max() and (got >= 0).all()
+
+
+def test_stratified_split_takes_the_share_of_each_class(spark):
+    df = spark.range(1000).selectExpr("id k", "if(id % 10 = 0, 'rare', 'common') t")
+    got = {(r.t, r.is_test): r["count"] for r in TR.stratified_split(df, "k", "t").groupBy("t", "is_test").count().collect()}
+    assert got == {("rare", True): 20, ("rare", False): 80, ("common", True): 180, ("common", False): 720}

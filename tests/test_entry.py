@@ -1,5 +1,7 @@
 """Driver contract of __spark_entry__.py."""
 
+import sys
+
 import __spark_entry__ as E
 
 
@@ -12,6 +14,12 @@ def test_entry_runs(spark):
 
 def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
-    assert q and set(o) <= set(q)
-    for name in q:
-        assert not name.startswith("op") and name != "pipeline"
+    assert E.FLAGSHIP in q and set(o) <= set(q)
+
+
+def test_without_the_training_data_operators(monkeypatch):
+    for gone in ("gavel.llm", "corpus_pipeline"):
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, gone, None)
+            q, o = E.queries(), E.oracle_sql()
+            assert E.FLAGSHIP in q and set(o) <= set(q) and not [n for n in q if n.startswith("op") or n == "pipeline"]

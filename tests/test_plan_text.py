@@ -31,7 +31,7 @@ def test_resolve(spark):
     out = {r["name"]: (r["matched_key"], r["implementation"], r["skip_reason"]) for r in PT.resolve(names).collect()}
     assert out["Logistic Regression"] == ("logisticregression", "logistic", None)
     assert out["ridge-regression"][2] == "ridge-regression: not for classification"
-    assert out["SVM"][2] == "'SVM' has no classification implementation"
+    assert out["SVM"][2] == "SVM: not for classification"
     assert out["Neural Net"][2] == "unknown model: Neural Net"
     assert out["xgb-oost"][:2] == ("xgboost", "gbt_deep")
 

@@ -1,9 +1,10 @@
 """Exact deduplication by a content sort (DataFrame operations only).
 
 Texts are normalised (A-Z lower-cased, null counts as empty) and range
-partitioned on their bytes by Spark's sampled splitters; an external sort puts
-equal texts next to each other, and a window over the sorted run compares whole
-neighbouring texts.
+partitioned by Spark's sampled splitters on their first ``PREFIX`` characters,
+then on a hash (so texts with a common start still divide, and a splitter has a
+bounded size); an external sort puts equal texts next to each other, and a
+window over the sorted run compares whole neighbouring texts.
 
 A text whose copies hold more than a quarter of a partition's bytes is *hot*.
 There are at most ``4 * partitions`` such texts, because their bytes are counted
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 from gavel.llm.common import ascii_lower, staged, text_of
 
 
+#: Characters of a text that a splitter holds.
+PREFIX = 64
+
+
 def _hot_texts(docs: DataFrame, norm, parts: int):
     """(hash, salts) of texts above a quarter of a partition; at most 4 * parts rows."""
     sizes = staged(docs.select(F.xxhash64(norm).alias("h"), (F.octet_length(norm) + 16).cast("long").alias("b")).groupBy("h").agg(F.sum("b").alias("b")), "text-sizes")
@@ -42,10 +47,11 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), *([row] if carry else []))
     # the hot list has at most 4 * parts rows of 16 bytes
     rows = rows.withColumn("h", F.xxhash64("norm")).join(F.broadcast(hot), "h", "left")
-    rows = rows.withColumn("salt", F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.col("salts")))).drop("h", "salts")
-    by_text = Window.partitionBy("norm", "salt").orderBy(F.col("id").desc_nulls_last())
+    rows = rows.withColumn("salt", F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.col("salts")))).drop("salts")
+    rows = rows.withColumn("start", F.left("norm", F.lit(PREFIX)))
+    by_text = Window.partitionBy("start", "h", "salt", "norm").orderBy(F.col("id").desc_nulls_last())
     whole = by_text.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = rows.repartitionByRange(parts, "norm", "salt").select(
+    found = rows.repartitionByRange(parts, "start", "h", "salt").select(
         "id", "salt", *(["row"] if carry else []),
         F.first("id").over(whole).alias("piece_keep"),
         F.count(F.lit(1)).over(whole).alias("piece_size"),

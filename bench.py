@@ -38,12 +38,17 @@ def main() -> None:
 
     from gavel.plans import QUERIES
     from gavel.session import local_session
+    from gavel.sources import fixtures
 
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="gavel-bench")
-    # warm-up (JVM, codegen caches): one small query, not timed
-    QUERIES["profile_numeric"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # warm-up (JVM, codegen caches): a query that does not touch the governed table
+    QUERIES["plan_validate"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     timings = {}
+    # the four-way join and its write, which later queries read
+    t0 = time.perf_counter()
+    fixtures.gov(spark, sf_dir)
+    timings["governed_table_build"] = round(time.perf_counter() - t0, 3)
     for name in names:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

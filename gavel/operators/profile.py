@@ -176,59 +176,56 @@ def top_categories(df: DataFrame, k: int = 5, vc_cat: DataFrame | None = None) -
     )
 
 
-def _pairs(cols: list[str]) -> list[tuple[int, str, str]]:
-    out, p = [], 0
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            out.append((p, cols[i], cols[j]))
-            p += 1
-    return out
-
-
-PAIR_CHUNK = 130  # 3 aggregates per pair: ~400 expressions per aggregate
-
-
 def pearson_pairs(df: DataFrame) -> DataFrame:
     """(pair_pos, feature_a, feature_b, r) for all numeric column pairs,
     pairwise-complete rows, NULL where a side is constant or < 2 rows.
 
-    r = covar_samp / (stddev_samp(a | b present) * stddev_samp(b | a present));
-    Spark's ``corr`` raises on zero variance under ANSI mode. Pairs are split
-    into aggregates of bounded width to stay under the codegen method limit.
-    """
+    Two scans whatever the number of columns: the minima (values are shifted by
+    them, which keeps the sums well-conditioned and constants at zero), and one
+    pass in which every task adds up its matrices of products over Arrow
+    batches. A task hands on one row a column; a column's rows are added up
+    together (tasks x columns numbers)."""
     nums = numeric_columns(df)
-    pairs = _pairs(nums)
+    k = len(nums)
     spark = df.sparkSession
-    if not pairs:
+    if k < 2:
         return spark.createDataFrame([], "pair_pos bigint, feature_a string, feature_b string, r double")
-    parts = []
-    for start in range(0, len(pairs), PAIR_CHUNK):
-        chunk = pairs[start : start + PAIR_CHUNK]
-        exprs = []
-        for p, a, b in chunk:
-            xa, xb = col(a).cast("double"), col(b).cast("double")
-            exprs += [
-                F.covar_samp(xa, xb).alias(f"cv{p}"),
-                F.stddev_samp(F.when(xb.isNotNull(), xa)).alias(f"sa{p}"),
-                F.stddev_samp(F.when(xa.isNotNull(), xb)).alias(f"sb{p}"),
-            ]
-        agg = df.agg(*exprs)
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(p).cast("long").alias("pair_pos"),
-                    F.lit(a).alias("feature_a"),
-                    F.lit(b).alias("feature_b"),
-                    F.try_divide(F.col(f"cv{p}"), F.nullif(F.col(f"sa{p}") * F.col(f"sb{p}"), F.lit(0.0))).alias("r"),
-                )
-                for p, a, b in chunk
-            ]
-        )
-        parts.append(agg.select(F.inline(rows)))
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
-    return out
+    x = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(nums)])
+    low = x.agg(*[F.min(f"x{i}").alias(f"x{i}") for i in range(k)]).first()
+    shifted = x.select(*[(F.col(f"x{i}") - F.lit(float(low[i] or 0.0))).alias(f"x{i}") for i in range(k)])
+    sums = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+    def add_up(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((len(sums), k, k))
+        for batch in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = (~np.isnan(v)).astype(float)
+            v = np.nan_to_num(v)
+            q = v * v
+            total += np.stack([there.T @ there, v.T @ there, there.T @ v, q.T @ there, there.T @ q, v.T @ v])
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32())] + [pa.array(list(t), pa.list_(pa.float64())) for t in total], names=["a", *sums])
+
+    def finish(table):
+        import numpy as np
+        import pyarrow as pa
+
+        a = table.column("a")[0].as_py()
+        n, sa, sb, saa, sbb, sab = (np.stack([np.asarray(x) for x in table.column(c).to_pylist()]).sum(axis=0)[a + 1 :] for c in sums)
+        many = np.maximum(n, 1)
+        va, vb, cov = saa - sa * sa / many, sbb - sb * sb / many, sab - sa * sb / many
+        ok = (n >= 2) & (va > 1e-12 * saa) & (vb > 1e-12 * sbb)
+        r = cov / np.sqrt(np.where(ok, va * vb, 1.0))
+        b = np.arange(a + 1, k)
+        place = a * (2 * k - a - 1) // 2 + b - a - 1
+        return pa.table({"pair_pos": pa.array(place, pa.int64()), "a": pa.array(np.full(len(b), a), pa.int32()), "b": pa.array(b, pa.int32()), "r": pa.array(r, pa.float64(), mask=~ok)})
+
+    parts = shifted.mapInArrow(add_up, "a int, " + ", ".join(f"{c} array<double>" for c in sums))
+    names = F.array(*[F.lit(c) for c in nums])
+    pairs = parts.groupBy("a").applyInArrow(finish, "pair_pos bigint, a int, b int, r double")
+    return pairs.select("pair_pos", F.element_at(names, F.col("a") + 1).alias("feature_a"), F.element_at(names, F.col("b") + 1).alias("feature_b"), "r")
 
 
 def correlations_top(df: DataFrame, min_abs: float = 0.20, k: int = 10) -> DataFrame:

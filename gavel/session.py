@@ -44,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         # a machine-local folder is not shared by the executors of a cluster
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this cluster")
     path = tempfile.mkdtemp(prefix="gavel-ckpt-")

@@ -8,15 +8,15 @@
    with probability 5e-6).
 3. Candidate pairs: every pair of a bucket of at most ``SMALL`` classes; in a
    larger bucket every class with the bucket's smallest class. What that leaves
-   open in large buckets is settled by further rounds (5.).
+   open in large buckets is settled in 5.
 4. A pair's signatures are compared batch by batch; it is dropped as soon as the
    posterior probability (uniform prior) of a similarity of at least the
    threshold falls below ``MISS``. Survivors are verified on their full sets.
-5. Links merge into components (large-star / small-star rounds). A large bucket
-   whose classes are not all in one component gets twice as many centres in the
-   next round, and compares them with the classes of other components, until
-   none is left. So no pair of a bucket goes unexamined unless its classes are
-   already connected.
+5. Links merge into components (large-star / small-star rounds). Large buckets
+   that are not one component get another random centre. The classes that
+   are still outside their bucket's main component are then compared with all
+   others of the bucket, in blocks whose work stays inside a task, so no pair of
+   a bucket goes unexamined unless its classes are already connected.
 
 Results: component_id is the smallest id of the component.
 
@@ -35,35 +35,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavel.llm import common
-from gavel.llm.common import ascii_lower, by_value, staged, text_of, words
+from gavel.llm import common, word_hash
+from gavel.llm.common import by_value, staged, text_of
+from gavel.llm.word_hash import blend, hash_words, text_runs
 
 by_value(sys.modules[__name__])
 by_value(common)
+by_value(word_hash)
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SMALL = 8
 MISS = 1e-6
-CHUNK = 1 << 18
+TURNS, BLOCK = 3, 256
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def blend(x):
-    """Finaliser over 64-bit numbers: every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def hashed_words(text):
-    return F.transform(words(ascii_lower(text_of(text))), lambda w: F.xxhash64(w))
-
-
 def shingle_sets(word, at):
-    """Sorted distinct shingle hashes of documents given by word hashes and
+    """Sorted distinct shingle hashes (64 bits) of texts given by word hashes and
     offsets: (hashes, offsets)."""
     n = np.diff(at)
     count = np.where(n == 0, 0, np.maximum(n - SHINGLE + 1, 1))
@@ -111,38 +100,22 @@ def set_names(h, at):
     return np.column_stack([blend(one + size * ODD[2]), blend(two ^ (size * ODD[3]))])
 
 
-def _runs(at, most):
-    """Cut documents into runs of about ``most`` words."""
-    lo = 0
-    while lo < len(at) - 1:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
-        yield lo, hi
-        lo = hi
-
-
-def _words_of(batch, name):
-    x = batch.column(batch.schema.get_field_index(name))
-    at = np.asarray(x.offsets).astype(np.int64)
-    return np.asarray(x.values)[at[0] : at[-1]].view(np.uint64), at - at[0]
-
-
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, name (16 bytes, null for an empty set), sig."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), hashed_words(text_col).alias("w"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
 
     def run(batches):
         for batch in batches:
-            w, at = _words_of(batch, "w")
-            for lo, hi in _runs(at, CHUNK):
-                h, cut = shingle_sets(w[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            for lo, texts in text_runs(batch, "t"):
+                h, cut = shingle_sets(*hash_words(texts)[:2])
                 size = np.diff(cut)
                 some = size > 0
-                names, sigs = np.full(hi - lo, None, dtype=object), np.full(hi - lo, None, dtype=object)
+                names, sigs = np.full(len(texts), None, dtype=object), np.full(len(texts), None, dtype=object)
                 if some.any():
                     own = np.concatenate([[0], np.cumsum(size[some])])
                     names[some] = [x.tobytes() for x in set_names(h, own)]
                     sigs[some] = [x.tobytes() for x in signatures(h, own)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "name", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(size), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "name", "sig"])
 
     return src.mapInArrow(run, "id long, n_shingles long, name binary, sig binary")
 
@@ -184,13 +157,12 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, total: int) ->
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """name, n, shingles (sorted 64-bit hashes as bytes) of the wanted (rep, name)."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    src = src.join(wanted.select(F.col("rep")).distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select(hashed_words("t").alias("w"))
+    src = src.join(wanted.select(F.col("rep")).distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select(text_of("t").alias("t"))
 
     def run(batches):
         for batch in batches:
-            w, at = _words_of(batch, "w")
-            for lo, hi in _runs(at, CHUNK):
-                h, cut = shingle_sets(w[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            for _lo, texts in text_runs(batch, "t"):
+                h, cut = shingle_sets(*hash_words(texts)[:2])
                 some = np.flatnonzero(np.diff(cut))
                 if len(some):
                     names = set_names(h, np.concatenate([[0], np.cumsum(np.diff(cut)[some])]))
@@ -237,44 +209,117 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(got)
 
 
+def _lot(turn: int):
+    """Random order of a bucket's members, another for every bucket and turn."""
+    return F.xxhash64(F.lit(turn), "key", "name")
+
+
+def _bucketed(member: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, large) of bucket members (key, name): all pairs of buckets of at
+    most ``small``, in larger ones each with a random centre; members of the
+    larger."""
+    buckets = staged(member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("name", _lot(0)).alias("centre")).filter("size > 1"), "buckets")
+    member = staged(member.join(buckets, "key"), "bucket-members")  # classes alone in their buckets are gone
+    few = member.filter(F.col("size") <= small)
+    close = few.select("key", F.col("name").alias("a")).join(few.select("key", F.col("name").alias("b")), "key").filter("a < b").select("a", "b")
+    large = member.filter(F.col("size") > small)
+    star = large.filter("centre != name").select(F.least("centre", "name").alias("a"), F.greatest("centre", "name").alias("b"))
+    return close.union(star).distinct(), large.select("key", "name")
+
+
+def _open(member: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, name, comp, size) of the buckets with more than one component."""
+    labelled = member.join(comp, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+    split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter(F.col("lo") != F.col("hi"))
+    return staged(labelled.join(split.select("key", "size"), "key"), "open-buckets")
+
+
 def connect(sigs: DataFrame, sets_of, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(name, comp) of the classes linked to others, from ``sigs`` (name, rep,
     sig). ``sets_of(wanted)`` gives (name, shingles) of wanted (name, rep)."""
     total = bands * rows
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * rows) + 1, 4 * rows)))).alias("key")
-    member = sigs.select("name", band)
-    buckets = staged(member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("name").alias("centre")).filter("size > 1"), "buckets")
-    member = staged(member.join(buckets, "key"), "bucket-members")  # classes alone in their buckets are gone
-    few = member.filter(F.col("size") <= SMALL)
-    close = few.select("key", F.col("name").alias("a")).join(few.select("key", F.col("name").alias("b")), "key").filter("a < b").select("a", "b")
-    many = member.filter(F.col("size") > SMALL)
-    star = many.filter("centre < name").select(F.col("centre").alias("a"), F.col("name").alias("b"))
-    found = staged(_pruned(close.union(star).distinct(), sigs, percent / 100, total), "candidates")
+    pairs, many = _bucketed(sigs.select("name", band), SMALL)
+    found = staged(_pruned(pairs, sigs, percent / 100, total), "candidates")
     wanted = found.select(F.col("a").alias("name")).union(found.select(F.col("b").alias("name"))).union(many.select("name")).distinct()
     sets = staged(sets_of(sigs.select("name", "rep").join(wanted, "name", "left_semi")), "sets")
     links = staged(_verified(found, sets, percent), "links")
     comp = components(links)
-    many, centres, used = many.select("key", "name"), 1, 1
-    while True:
-        # members of large buckets whose classes are not yet one component
-        labelled = many.join(comp, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-        split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter(F.col("lo") != F.col("hi"))
-        open_ = staged(labelled.join(split.select("key", "size"), "key"), "open-buckets")
-        size = open_.agg(F.max("size")).first()[0]
-        if not size or used >= size:
-            return comp
-        centres *= 2
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("name"))  # a top-k of each bucket
-        heads = open_.select("key", "name", "comp", nth.alias("nth")).filter(F.col("nth") <= used + centres).filter(F.col("nth") > used)
-        used += centres
-        heads = heads.select("key", F.col("name").alias("c"), F.col("comp").alias("cc"))
-        fresh = open_.join(heads, "key").filter("comp != cc").select(F.least("name", "c").alias("a"), F.greatest("name", "c").alias("b")).distinct()
-        more = staged(_verified(_pruned(fresh, sigs, percent / 100, total), sets, percent), "links")
-        many = open_.select("key", "name")
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, comp
+        more = staged(_verified(_pruned(pairs, sigs, percent / 100, total), sets, percent), "links")
         if not more.isEmpty():
             links = staged(links.union(more), "links")
             comp = components(links)
 
+    # large buckets that are not one component: other random centres
+    for turn in range(1, TURNS + 1):
+        unsettled = _open(many, comp)
+        if unsettled.isEmpty():
+            return comp
+        many = unsettled.select("key", "name")
+        centre = unsettled.groupBy("key").agg(F.min_by(F.struct("name", "comp"), _lot(turn)).alias("c"))
+        add(unsettled.join(centre, "key").filter(F.col("comp") != F.col("c.comp")).select(F.least("name", "c.name").alias("a"), F.greatest("name", "c.name").alias("b")).distinct())
+    # the classes still outside their bucket's main component, against the rest
+    unsettled = _open(many, comp)
+    if unsettled.isEmpty():
+        return comp
+    more = staged(_across(unsettled, sigs, sets, percent, rows), "links")
+    return comp if more.isEmpty() else components(links.union(more))
+
+
+def _across(unsettled: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Links (a, b) between different components within open buckets (key, name,
+    comp, size). The classes outside a bucket's largest component are compared
+    with all of it, in blocks of BLOCK x BLOCK classes: signatures first, then the full
+    sets of what the posterior bound lets through. Of the links of a class in a
+    block one a component is returned; nothing else is emitted."""
+    shares = unsettled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = shares.groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.select("key", "main", blocks(F.col("size")).alias("mbs"), blocks(F.col("size") - F.col("most")).alias("qbs"))
+    member = unsettled.select("key", "name", "comp").join(main, "key").withColumn("lot", F.xxhash64("name"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mb, qb = F.pmod("lot", "mbs").cast("int"), F.pmod("lot", "qbs").cast("int")
+    asked = member.filter("comp != main").select("key", qb.alias("qb"), upto("mbs").alias("mb"), F.lit(True).alias("ask"), "name", "comp")
+    every = member.select("key", upto("qbs").alias("qb"), mb.alias("mb"), F.lit(False).alias("ask"), "name", "comp")
+    payload = sigs.select("name", "sig").join(sets, "name")
+    cells = asked.union(every).join(payload, "name")
+
+    def compare(table):
+        ask = np.asarray(table.column("ask"))
+        names, comps = table.column("name").to_pylist(), table.column("comp").to_pylist()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(len(names), -1)
+        full = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        total = sig.shape[1]
+        least = least_agreeing(percent / 100, total, min(32, total))
+        code = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        of = np.array([code[c] for c in comps])
+        others = np.flatnonzero(~ask)
+        told, pairs = set(), []
+        for q in np.flatnonzero(ask):
+            left = others[of[others] != of[q]]
+            agree, done = np.zeros(len(left), dtype=np.int64), 0
+            for n, m in least:
+                agree = agree + (sig[left, done:n] == sig[q, done:n]).sum(axis=1)
+                keep = agree >= m
+                left, agree, done = left[keep], agree[keep], n
+            if not len(left):
+                continue
+            x = full[q]
+            lens = np.array([len(full[i]) for i in left])
+            flat = np.concatenate([full[i] for i in left])
+            at = np.searchsorted(x, flat)
+            both = np.add.reduceat((x[np.minimum(at, len(x) - 1)] == flat).astype(np.int64), np.cumsum(lens) - lens)
+            for i in left[100 * both >= percent * (len(x) + lens - both)]:
+                if (q, of[i]) not in told:
+                    told.add((q, of[i]))
+                    pairs.append(sorted((names[q], names[i])))
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return cells.groupBy("key", "qb", "mb").applyInArrow(compare, "a binary, b binary").distinct()
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """id, n_shingles, component_id, kept of every row."""

@@ -16,7 +16,7 @@ Rendering of a turn: ``<|im_start|>role``, newline, text, ``<|im_end|>``,
 newline; ``<|`` in a text or role becomes ``< |``, so text cannot forge a mark.
 
 Defined cases: null role or text counts as empty; a null conversation id is one
-conversation; null turn numbers come first; repeated rows (equal in all four
+conversation; null turn numbers come before turn 0; repeated rows (equal in all four
 fields) count once; different rows with one turn number follow their role, then
 their text.
 """
@@ -34,7 +34,7 @@ SUMS = [f"s{i}" for i in range(LANES)]
 
 
 def _block(turn: Column) -> Column:
-    return F.coalesce(F.floor(turn / BLOCK), F.lit(-1)).cast("long")
+    return F.coalesce(F.floor(turn / BLOCK), F.lit(0)).cast("long")
 
 
 def prefixes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -89,4 +89,4 @@ def render(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     said = F.array_sort(F.collect_set(F.struct("turn", "role", "text")))
     texts = rows.groupBy("conv", "block").agg(F.array_join(F.transform(said, lambda t: rendered_turn(t["role"], t["text"])), "").alias("text"))
     kept = kept.select(F.col("conv").alias("c"), "n_turns")
-    return texts.join(kept, texts["conv"].eqNullSafe(kept["c"])).select(F.col("conv").alias(conv_col), F.greatest("block", F.lit(0)).alias("piece"), "n_turns", "text")
+    return texts.join(kept, texts["conv"].eqNullSafe(kept["c"])).select(F.col("conv").alias(conv_col), F.col("block").alias("piece"), "n_turns", "text")

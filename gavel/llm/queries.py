@@ -98,7 +98,7 @@ n AS (SELECT conv_id, row_number() OVER w AS pos, string_agg(length(role) || ':'
 full_ AS (SELECT conv_id, n, md5(said) AS h FROM n WHERE pos = n),
 inner_ AS (SELECT DISTINCT md5(said) AS h FROM n WHERE pos < n),
 kept AS (SELECT min(conv_id) AS conv_id, n FROM full_ WHERE h NOT IN (SELECT h FROM inner_) GROUP BY h, n)
-SELECT k.conv_id, greatest(coalesce(turn // 4096, -1), 0)::BIGINT AS piece, k.n AS n_turns,
+SELECT k.conv_id, coalesce(turn // 4096, 0)::BIGINT AS piece, k.n AS n_turns,
        string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text
 FROM kept k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL""",
     "op5_mixing": """

@@ -4,7 +4,7 @@ Units of text that may repeat:
 
 - *paragraphs*: lines of at least ``WINDOW`` words. Their distinct 5-word
   shingles are signed with minhashes and banded (``BANDS`` x ``ROWS``: a
-  similarity of 0.75 shares a band with probability 0.993); colliding paragraphs
+  similarity of 0.75 shares a band with probability 0.998); colliding paragraphs
   are joined and their exact Jaccard similarity is verified;
 - *anchored passages*: runs of ``WINDOW`` words that start at the smallest word
   hash of every ``REACH`` words. Two texts that share ``WINDOW + REACH - 1`` = 51
@@ -36,38 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavel.llm import common, near_dedup
-from gavel.llm.common import ascii_lower, by_value, staged, text_of
-from gavel.llm.near_dedup import ODD, blend, connect, hashed_words, set_names, shingle_sets
+from gavel.llm import common, near_dedup, word_hash
+from gavel.llm.common import by_value, staged, text_of
+from gavel.llm.near_dedup import ODD, connect, set_names, shingle_sets
+from gavel.llm.word_hash import blend, hash_words, text_runs
 
 by_value(sys.modules[__name__])
 by_value(common)
 by_value(near_dedup)
+by_value(word_hash)
 
 WINDOW, REACH = 36, 16
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 16, 4
 CHUNK = 1 << 18
 
 
-def tokens(text):
-    """Word hashes of a text with a 0 at each line end."""
-    lines = F.split(text, "\n")
-    spaced = F.transform(lines, lambda p: F.concat(F.transform(F.filter(F.split(p, common.SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)), F.array(F.lit(0).cast("long"))))
-    return F.flatten(spaced)
-
-
-def _documents(batch, name):
-    """Per batch: words without line ends, offsets, line number of each word."""
-    x = batch.column(batch.schema.get_field_index(name))
-    off = np.asarray(x.offsets).astype(np.int64)
-    raw = np.asarray(x.values)[off[0] : off[-1]].view(np.uint64)
-    off = off - off[0]
-    is_word = raw != 0
-    upto = np.concatenate([[0], np.cumsum(is_word)])
-    line = np.cumsum(~is_word) - (~is_word)
-    return raw[is_word], upto[off], line[is_word]
-
-
 def windows(word, at):
     """Start (index into ``word``) of each anchored passage, its name (64 bits
     and 32 more to check them), and its document, for documents given by
@@ -132,23 +115,15 @@ def _minhashes(h, cut):
     return out
 
 
-def _runs(batch, name):
-    """(words, offsets, lines, first row, last row) for bounded runs of rows."""
-    word, at, line = _documents(batch, name)
-    for lo, hi in near_dedup._runs(at, CHUNK):
-        yield word[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], line[at[lo] : at[hi]], lo, hi
-
-
 def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, name, check, first word of every anchored passage."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), hashed_words(text_col).alias("w"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
 
     def run(batches):
         for batch in batches:
-            word, off = near_dedup._words_of(batch, "w")
-            for lo, hi in near_dedup._runs(off, CHUNK):
-                at = off[lo : hi + 1] - off[lo]
-                start, name, check, doc = windows(word[off[lo] : off[hi]], at)
+            for lo, texts in text_runs(batch, "t"):
+                word, at, _line = hash_words(texts)
+                start, name, check, doc = windows(word, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + lo)), pa.array(name.view(np.int64)), pa.array(check), pa.array((start - at[doc]).astype(np.int32))], names=["id", "name", "check", "first"])
 
     return src.mapInArrow(run, "id long, name long, check int, first int")
@@ -157,11 +132,12 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, name (16 bytes, of the shingle set), first word, number of words and
     minhashes of every paragraph."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), tokens(ascii_lower(text_of(text_col))).alias("w"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
 
     def run(batches):
         for batch in batches:
-            for word, at, line, lo, _hi in _runs(batch, "w"):
+            for lo, texts in text_runs(batch, "t"):
+                word, at, line = hash_words(texts, lines=True)
                 head, end, doc = _line_units(word, at, line)
                 if not len(head):
                     continue
@@ -173,11 +149,12 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _paragraph_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    src = src.join(wanted.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select(tokens(ascii_lower(text_of("t"))).alias("w"))
+    src = src.join(wanted.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select(text_of("t").alias("t"))
 
     def run(batches):
         for batch in batches:
-            for word, at, line, _lo, _hi in _runs(batch, "w"):
+            for _lo, texts in text_runs(batch, "t"):
+                word, at, line = hash_words(texts, lines=True)
                 head, end, _doc = _line_units(word, at, line)
                 if len(head):
                     h, cut = _line_sets(word, head, end)

@@ -97,8 +97,8 @@ def test_near_matches_brute_force(spark):
 
 
 def test_large_buckets_lose_no_link(spark, monkeypatch):
-    # all classes share every band, so small buckets play no part: the division
-    # by a second band and the rounds of centres must find all links
+    # all classes share every band, so small buckets play no part: the centres
+    # and the comparison in blocks must find all links
     import pyspark.sql.functions as F
 
     lead = prose(30, 5)
@@ -106,7 +106,8 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     docs = frame(spark, texts)
     sigs = near_dedup.sketch(docs, "doc_id", "text").filter("name is not null")
     sigs = sigs.select("name", F.col("id").alias("rep"), F.lit(b"\0" * 12).alias("sig"))
-    monkeypatch.setattr(near_dedup, "_pruned", lambda pairs, *a: pairs)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "TURNS", 0)
     comp = near_dedup.connect(sigs, lambda wanted: near_dedup._sets(docs, wanted, "doc_id", "text"), 75, 3, 1)
     got = comp.join(sigs, "name").toPandas()
     want, _ = brute_components(texts)

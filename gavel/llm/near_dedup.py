@@ -47,7 +47,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 SMALL = 8
 MISS = 1e-6
-TURNS, BLOCK = 3, 256
+TURNS, BLOCK = 1, 256
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 

@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from gavel.llm import common, encode
-from gavel.llm.common import by_value, slices, text_of
+from gavel.llm import common, encode, word_hash
+from gavel.llm.common import by_value, slices, text_of, worker_memory
 from gavel.llm.encode import CHUNK, Pieces, before_spaces, encode_texts, ragged
 
 by_value(sys.modules[__name__])
 by_value(common)
 by_value(encode)
+by_value(word_hash)
 
 
 def byte_characters() -> list[str]:
@@ -82,14 +83,12 @@ class Table:
         return (head[first] - 1).astype(np.int32) if len(ids) else np.zeros(0, dtype=np.int32)
 
 
-_WORKER: dict = {}
-
-
 def _worker(path: str, pattern: str):
-    if (path, pattern) not in _WORKER:
+    memory = worker_memory()
+    if (path, pattern) not in memory:
         ranks = read_ranks(path)
-        _WORKER[path, pattern] = Pieces(build(ranks, pattern)), Table(ranks)
-    return _WORKER[path, pattern]
+        memory[path, pattern] = Pieces(build(ranks, pattern)), Table(ranks)
+    return memory[path, pattern]
 
 
 def encode_column(rows: DataFrame, path: str, pattern: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
@@ -102,8 +101,11 @@ def _encoded(rows, path, pattern, text_col, offsets, digest, id_col=None):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    kept = F.struct(*[F.col(f"`{c}`") for c in rows.columns]) if id_col is None else F.col(id_col)
-    src = rows.select(kept.alias("row"), text_of(text_col).alias("t"))
+    if id_col is None:  # the text travels within its row only
+        whole = list(rows.columns)
+        src = rows.select(F.struct(*[F.col(f"`{c}`") for c in whole]).alias("row"))
+    else:
+        whole, src = None, rows.select(F.col(id_col).alias("row"), text_of(text_col).alias("t"))
     fields = [StructField("row", src.schema["row"].dataType)]
     if digest:
         fields += [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
@@ -117,6 +119,9 @@ def _encoded(rows, path, pattern, text_col, offsets, digest, id_col=None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         memo, table = _worker(path, pattern)
         for batch in batches:
+            if whole:
+                text = batch.column(0).field(whole.index(text_col)).fill_null("")
+                batch = pa.RecordBatch.from_arrays([batch.column(0), text], names=["row", "t"])
             for part in slices(batch, "t", CHUNK):
                 flat, lens = encode_texts(memo, part.column(1), before_spaces)
                 cut = np.concatenate([[0], np.cumsum(lens)])

@@ -21,6 +21,16 @@ def by_value(module) -> None:
     cloudpickle.register_pickle_by_value(module)
 
 
+def worker_memory() -> dict:
+    """A dict that lives as long as the Python worker: tasks of one worker share
+    loaded models and memos. (Globals of code sent by value are made anew for
+    every task.)"""
+    import sys
+    import types
+
+    return sys.modules.setdefault("training_data_worker_memory", types.ModuleType("training_data_worker_memory")).__dict__
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -10,20 +10,22 @@ is that of encoding each text in one call.
 from __future__ import annotations
 
 import sys
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from gavel.llm import common
+from gavel.llm import common, word_hash
 from gavel.llm.common import by_value
+from gavel.llm.word_hash import string_hashes
 
 by_value(sys.modules[__name__])
 by_value(common)
+by_value(word_hash)
 
-CHUNK = 4 << 20
-REMEMBER = 400_000
+CHUNK = 2 << 20
+REMEMBER = 1_000_000
 
 
 def ragged(starts, lens):
@@ -37,6 +39,9 @@ def ragged(starts, lens):
 class Pieces:
     """Ids of pieces, encoded once each. ``encode`` takes distinct strings.
 
+    Known pieces are found by their hashes in a sorted array and then compared
+    in full, so a batch needs Python objects for its new pieces only.
+
     ``plain`` may name a pattern of pieces that the tokenizer's normaliser and
     splitter leave as one unchanged byte-level word. Those go straight to the
     library's model, as the characters ``letters`` gives their bytes."""
@@ -46,35 +51,54 @@ class Pieces:
 
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.plain = re.compile(plain).fullmatch if plain else None
-        self.letters = {b: c for b, c in enumerate(letters or [])}
+        self.letters = {b: c for b, c in enumerate(letters or [])} | {10: "\n"}
         self.clear()
 
     def clear(self):
-        self.slot: dict[str, int] = {}
+        self.names, self.hashes, self.slots = pa.array([], pa.string()), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.ids, self.start = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def encode(self, pieces: list[str]):
+    def ask(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces from the library."""
+        out: list[list[int]] = [[]] * len(pieces)
+        is_plain = np.fromiter((m is not None for m in map(self.plain, pieces)), dtype=bool, count=len(pieces)) if self.plain else np.zeros(len(pieces), dtype=bool)
+        if is_plain.any():
+            ask = self.model.tokenize
+            mapped = "\n".join(compress(pieces, is_plain)).encode().decode("latin-1").translate(self.letters).split("\n")
+            for i, p in zip(np.flatnonzero(is_plain).tolist(), mapped):
+                out[i] = [t.id for t in ask(p)]
+        rest = np.flatnonzero(~is_plain).tolist()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def encode(self, pieces: pa.Array):
         """(flat ids, start, length) of each piece."""
-        if len(self.slot) > REMEMBER:
+        if len(self.names) > REMEMBER:
             self.clear()
-        new = [p for p in pieces if p not in self.slot]
-        if new and self.plain:
-            simple = [p for p in new if self.plain(p)]
-            new = simple + [p for p in new if not self.plain(p)]
-        else:
-            simple = []
-        if new:
-            mapped = "\n".join(simple).encode().decode("latin-1").translate(self.letters | {10: "\n"}).split("\n") if simple else []
-            ask = self.model.tokenize
-            got = [[t.id for t in ask(p)] for p in mapped]
-            got += [e.ids for e in self.tokenizer.encode_batch_fast(new[len(simple) :], add_special_tokens=False)]
+        h = string_hashes(pieces)
+        at = np.searchsorted(self.hashes, h)
+        hit = np.zeros(len(h), dtype=bool)
+        slot = np.zeros(len(h), dtype=np.int64)
+        if len(self.hashes):
+            near = np.minimum(at, len(self.hashes) - 1)
+            hit = self.hashes[near] == h
+            slot[hit] = self.slots[near[hit]]
+            same = np.asarray(pc.equal(pieces.filter(pa.array(hit)), self.names.take(pa.array(slot[hit]))))
+            hit[np.flatnonzero(hit)[~same]] = False
+        if not hit.all():
+            new = np.flatnonzero(~hit)
+            fresh = pieces.take(pa.array(new))
+            got = self.ask(fresh.to_pylist())
             lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
             flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(lens.sum()))
-            base, at = self.start[-1], len(self.slot)
-            self.slot.update(zip(new, range(at, at + len(new)), strict=True))
-            self.ids, self.start = np.concatenate([self.ids, flat]), np.concatenate([self.start, base + np.cumsum(lens)])
-        at = np.fromiter((self.slot[p] for p in pieces), dtype=np.int64, count=len(pieces))
-        return self.ids, self.start[at], self.start[at + 1] - self.start[at]
+            slot[new] = len(self.names) + np.arange(len(new))
+            order = np.argsort(h[new], kind="stable")
+            self.hashes, self.slots = np.insert(self.hashes, at[new][order], h[new][order]), np.insert(self.slots, at[new][order], slot[new][order])
+            self.names = pa.concat_arrays([self.names, fresh])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lens)])
+            self.ids = np.concatenate([self.ids, flat])
+        return self.ids, self.start[slot], self.start[slot + 1] - self.start[slot]
 
 
 def encode_texts(memo: Pieces, texts: pa.Array, cut):
@@ -83,7 +107,7 @@ def encode_texts(memo: Pieces, texts: pa.Array, cut):
     parts = cut(texts)
     first = np.asarray(parts.offsets).astype(np.int64)
     coded = parts.flatten().dictionary_encode()
-    ids, start, length = memo.encode(coded.dictionary.to_pylist())
+    ids, start, length = memo.encode(coded.dictionary)
     which = np.asarray(coded.indices)
     lens = length[which]
     flat = ids[ragged(start[which], lens)]

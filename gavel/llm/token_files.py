@@ -29,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gavel.llm import byte_bpe, common, encode
+from gavel.llm import byte_bpe, common, encode, word_hash
 from gavel.llm.byte_bpe import byte_characters
-from gavel.llm.common import by_value, slices, text_of
+from gavel.llm.common import by_value, slices, text_of, worker_memory
 from gavel.llm.encode import CHUNK, Pieces, encode_texts, lower_words, ragged
 from gavel.session import shared_path
 
 by_value(sys.modules[__name__])
 by_value(common)
 by_value(encode)
+by_value(word_hash)
 by_value(byte_bpe)
 
 #: Fixed values of the code: ids in a word and bits of an id, by selector.
@@ -148,6 +149,17 @@ def unpack(words, lanes, n: int) -> np.ndarray:
     return out.reshape(len(lanes), width)[:, :LANE].reshape(-1)[:n]
 
 
+def _worker(path: str) -> Pieces:
+    memory = worker_memory()
+    if path not in memory:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        memory[path] = Pieces(tok, PLAIN, byte_characters())
+    return memory[path]
+
+
 BLOCKS = "part int, block int, before long, n_ids long, docs array<long>, lens array<long>, words binary, lanes binary"
 
 
@@ -162,11 +174,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        memo = Pieces(tok, PLAIN, byte_characters())
+        memo = _worker(tokenizer_path)
         part, block, before = TaskContext.get().partitionId(), 0, 0
         held: list = []  # (document ids, lens, ids) not yet written
 

@@ -78,3 +78,17 @@ def test_labels_outside_the_folds_change_nothing(spark, sf_small):
     flipped = labels.withColumn("toxic", F.when(id_crc("doc_id") % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.score(docs, x).orderBy("doc_id").toPandas() for x in (labels, flipped))
     assert np.allclose(a.score, b.score)
+
+
+def class_documents(spark, word_of):
+    rows = [(i, f"filler common {word_of(i, i % 2)}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return docs.select("doc_id", "text"), docs.select("doc_id", "toxic")
+
+
+def test_words_of_one_hash_bucket_are_told_apart(spark):
+    low = F.xxhash64(F.concat(F.lit("w"), F.col("id").cast("string"))).bitwiseAND(F.lit((1 << 20) - 1))
+    a, b = spark.range(5000).groupBy(low).agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("a", "b").first()
+    docs, labels = class_documents(spark, lambda i, toxic: f"w{a}" if toxic else f"w{b}")
+    got = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+    assert auc(got.score, got.toxic) > 0.95

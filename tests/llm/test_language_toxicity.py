@@ -92,3 +92,10 @@ def test_words_of_one_hash_bucket_are_told_apart(spark):
     docs, labels = class_documents(spark, lambda i, toxic: f"w{a}" if toxic else f"w{b}")
     got = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
     assert auc(got.score, got.toxic) > 0.95
+
+
+def test_words_a_few_times_likelier_in_toxic_texts_count(spark):
+    # in 60% of the toxic texts and 10% of the others
+    docs, labels = class_documents(spark, lambda i, toxic: "edgy" if i * 7919 % 100 < (60 if toxic else 10) else "plain")
+    got = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+    assert auc(got.score, got.toxic) > 0.6

@@ -23,9 +23,6 @@ from gavel.sources import fixtures as fx
 from gavel.sources import io
 
 KEYS = ("order_id",)
-# Depth of the forests in the registered queries (the library's default is the
-# deepest Spark allows, see train.MAX_DEPTH): keeps a run short on a few cores.
-FOREST_DEPTH = 10
 
 
 def _fresh(spark, *parts: str) -> str:
@@ -49,7 +46,7 @@ def cleaned_split(spark, sf, task: str = "classification", variant: str = "gov_c
 
 
 def _fit(train: DataFrame, impl: str, task: str):
-    return TR.fit(train, impl, task, **({"max_depth": FOREST_DEPTH} if impl == "random_forest" else {}))
+    return TR.fit(train, impl, task)
 
 
 def _metrics_row(spark, sf, impl: str, task: str) -> DataFrame:

@@ -103,3 +103,10 @@ def test_stratified_split_takes_the_share_of_each_class(spark):
     df = spark.range(1000).selectExpr("id k", "if(id % 10 = 0, 'rare', 'common') t")
     got = {(r.t, r.is_test): r["count"] for r in TR.stratified_split(df, "k", "t").groupBy("t", "is_test").count().collect()}
     assert got == {("rare", True): 20, ("rare", False): 80, ("common", True): 180, ("common", False): 720}
+
+
+def test_registered_forests_have_the_default_depth(monkeypatch):
+    from gavel.plans import q_model
+
+    monkeypatch.setattr(q_model.TR, "fit", lambda train, impl, task, **kw: kw)
+    assert q_model._fit(None, "random_forest", "classification").get("max_depth", q_model.TR.MAX_DEPTH) == 30

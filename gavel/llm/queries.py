@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import byte_bpe, chat, exact_dedup, fingerprints, language_id, mixing, near_dedup, substring_dedup, token_files, toxicity
+from gavel.llm import byte_bpe, chat, exact_dedup, filter_audit, fingerprints, importance, language_id, mixing, near_dedup, substring_dedup, suffix_dedup, token_files, toxicity
 from gavel.llm.common import id_crc, read_table
 
 #: Names of the public vocabulary files; their folder is the tokenizers package's.
@@ -72,7 +72,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_language_id, op4_byte_bpe, op5_mixing, op6_fingerprints, op7_substring_dedup, op8_chat_format, op9_token_files, op10_toxicity)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_language_id, op4_byte_bpe, op5_mixing, op6_fingerprints, op7_substring_dedup, op8_chat_format, op9_token_files, op10_toxicity, op11_importance, op12_filter_audit, op13_suffix_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -117,4 +129,60 @@ c AS (SELECT d.*, e.source_size, e.target, e.whole, e.target - e.whole * e.sourc
       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN upto <= rest THEN 1
       WHEN upto - here <= rest AND (rest - (upto - here)) * 2 >= here THEN 1 ELSE 0 END)::BIGINT AS taken FROM c""",
+    "op11_importance": """
+WITH RECURSIVE g AS (SELECT i AS b, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+      UNION ALL SELECT b, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM g WHERE k < 8),
+tab AS (SELECT list(c ORDER BY b) AS tab FROM g WHERE k = 8),
+w AS (SELECT x.*, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+      FROM (SELECT 'd' AS kind, doc_id, row_number() OVER () AS uid, text FROM documents UNION ALL SELECT 't', NULL, -row_number() OVER (), text FROM benchmark) x),
+f AS (SELECT kind, uid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+h AS (SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+      lambda c, b: xor(tab[xor(c, b) % 256 + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM u, tab),
+n AS (SELECT kind, uid, bucket, count(*) AS n FROM f JOIN h USING (f) GROUP BY ALL),
+z AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 't'), 0)::DOUBLE AS t FROM n GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM z),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM z, a),
+v AS (SELECT uid, sum(n * gain)::BIGINT AS total, sum(n)::BIGINT AS n FROM n JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY uid),
+s AS (SELECT doc_id, uid, coalesce(v.n, 0)::BIGINT AS n_features, len(w) >= 20 AS may,
+      CASE WHEN v.n > 0 THEN (total - ((total % v.n) + v.n) % v.n) // v.n ELSE 0 END::BIGINT AS weight,
+      ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN v USING (uid) WHERE kind = 'd'),
+o AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::BIGINT AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id NULLS LAST, uid) AS place, count(*) OVER (PARTITION BY may) AS n_may FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 25 * n_may // 100 THEN place END::BIGINT AS rank FROM r""",
+    "op12_filter_audit": """
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+      100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t), regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS fails,
+      coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w JOIN m USING (t) LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, k::INT AS step, substr(o, k, 1) AS f, substr(o, 1, k - 1) AS before
+      FROM o, (SELECT unnest(range(1, 6)) AS k) WHERE len(o) = 5),
+r AS (SELECT c.part, filter_order, step, f, fails[ascii(f) - 64] AS hit, n, good, toxic,
+      list_bool_or(list_transform(range(1, 6), lambda i: fails[i] AND contains(before, chr((64 + i)::INT)))) AS gone,
+      len(list_filter(fails, lambda x: x)) AS n_fails FROM c, s)
+SELECT part, filter_order, step, sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+       sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+       sum(CASE WHEN hit AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+       sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+       (sum(sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r GROUP BY part, filter_order, step, f""",
+    "op13_suffix_dedup": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM t)),
+f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY s),
+c AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new
+      FROM p JOIN f USING (s) WHERE doc_id > first),
+n AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM c),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM n GROUP BY doc_id, span),
+k AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans,
+      list(struct_pack(a := a, z := z) ORDER BY a) AS spans FROM r GROUP BY doc_id),
+j AS (SELECT t.doc_id, h, n_removed, n_spans, list_concat([0], list_transform(spans, lambda x: x.z)) AS starts,
+      list_concat(list_transform(spans, lambda x: x.a), [len(h) // 2]) AS ends FROM t LEFT JOIN k USING (doc_id))
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE list_reduce(list_transform(range(1, len(starts) + 1),
+       lambda i: substr(h, 2 * starts[i] + 1, 2 * (ends[i] - starts[i]))), lambda a, b: a || b) END)) AS kept_sha256 FROM j""",
 }

@@ -100,24 +100,23 @@ def _coalitions(measure: str) -> Column:
 def steps(cells: DataFrame) -> DataFrame:
     """One row per part, order of all filters and step, from the failure cells."""
     n, full = len(NAMES), (1 << len(NAMES)) - 1
-    orders = list(permutations(NAMES))
-    plan = []
-    for order in orders:
-        before = 0
-        for k, name in enumerate(order):
-            plan.append(("".join(order), k + 1, before, NAMES.index(name)))
-            before |= 1 << NAMES.index(name)
+    orders = ["".join(p) for p in permutations(NAMES)]
     mean = [[c * len(orders) for c in row] for row in shapley_map(n)]
     assert all(c.denominator == 1 for row in mean for c in row)
+
+    def dot(row: list[Fraction]) -> Column:
+        terms = F.zip_with("v", F.lit([int(c) for c in row]), lambda v, c: v * c)
+        return F.aggregate(terms, F.lit(0).cast("long"), lambda a, x: a + x)
+
     # a part has at most 32 cells
     parts = cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"), F.sum("n").alias("total"))
     parts = parts.select("part", "total", _coalitions("n").alias("v"), _coalitions("good").alias("g"), _coalitions("toxic").alias("t"))
-    phi = [sum((F.get("v", F.lit(s)) * F.lit(int(c)) for s, c in enumerate(row) if c), F.lit(0).cast("long")) for row in mean]
     alone = [F.get("v", F.lit(full)) - F.get("v", F.lit(full & ~(1 << i))) for i in range(n)]
-    parts = parts.select("*", F.array(*phi).alias("phi"), F.array(*alone).alias("alone"))
-    order_steps = F.array(*[F.struct(F.lit(o).alias("filter_order"), F.lit(k).alias("step"), F.lit(b).alias("before"), F.lit(f).alias("f")) for o, k, b, f in plan])
-    out = parts.select("*", F.inline(order_steps))
-    after = F.col("before") + F.element_at(F.array(*[F.lit(1 << i) for i in range(n)]), F.col("f") + 1)
+    parts = parts.select("*", F.array(*[dot(row) for row in mean]).alias("phi"), F.array(*alone).alias("alone"))
+    out = parts.select("*", F.explode(F.lit(orders)).alias("filter_order")).select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("step"))
+    before = sum((F.when(F.instr(F.col("filter_order"), name) < F.col("step"), 1 << i).otherwise(0) for i, name in enumerate(NAMES)), F.lit(0))
+    out = out.withColumn("f", F.instr(F.lit(NAMES), F.substring("filter_order", F.col("step"), F.lit(1))) - 1).withColumn("before", before)
+    after = F.col("before") + F.get(F.lit([1 << i for i in range(n)]), F.col("f"))
 
     def gone(values: str) -> Column:
         return F.get(values, after) - F.get(values, F.col("before"))

@@ -171,18 +171,15 @@ SELECT part, filter_order, step, sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE
        (sum(sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)) OVER (PARTITION BY part, f))::BIGINT AS shapley
 FROM r GROUP BY part, filter_order, step, f""",
     "op13_suffix_dedup": """
-WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM t)),
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, p, b[p + 1:p + 50] AS s FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS p FROM t)),
 f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY s),
 c AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new
       FROM p JOIN f USING (s) WHERE doc_id > first),
 n AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM c),
 r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM n GROUP BY doc_id, span),
-k AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans,
-      list(struct_pack(a := a, z := z) ORDER BY a) AS spans FROM r GROUP BY doc_id),
-j AS (SELECT t.doc_id, h, n_removed, n_spans, list_concat([0], list_transform(spans, lambda x: x.z)) AS starts,
-      list_concat(list_transform(spans, lambda x: x.a), [len(h) // 2]) AS ends FROM t LEFT JOIN k USING (doc_id))
-SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE list_reduce(list_transform(range(1, len(starts) + 1),
-       lambda i: substr(h, 2 * starts[i] + 1, 2 * (ends[i] - starts[i]))), lambda a, b: a || b) END)) AS kept_sha256 FROM j""",
+k AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM r GROUP BY doc_id),
+j AS (SELECT t.doc_id, b, n_removed, n_spans, list_concat([0], z) AS starts, list_concat(a, [octet_length(b)]) AS ends FROM t LEFT JOIN k USING (doc_id))
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN b ELSE list_reduce(list_transform(range(1, len(starts) + 1), lambda i: b[starts[i] + 1:ends[i]]), lambda x, y: x || y) END) AS kept_sha256 FROM j""",
 }

@@ -55,7 +55,7 @@ by_value(word_hash)
 LENGTH, Q = 50, 20
 WIDTH = LENGTH - Q + 1  # Q-grams of a window
 RUN = 32  # windows of a run at most: bits of a mask
-PIECE = 1 << 21  # bytes of text that are cut into runs at once
+PIECE = 1 << 20  # bytes of text that are cut into runs at once
 GROUP = 1 << 25  # bytes of run names that one task sorts at once
 OPEN_GROUP = 1 << 21  # bytes of open runs that one task refines at once
 SAMPLE = 256
@@ -143,7 +143,7 @@ def run_names(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
                 use = np.flatnonzero(new | ((owner > least) & ~same))
                 use = use[np.lexsort((owner[use], part[use]))]
                 at = np.flatnonzero(np.concatenate([[True], part[use][1:] != part[use][:-1]])) if len(use) else use
-                ends = [*at[1:], len(use)]
+                ends = [*at[1:], len(use)][: len(at)]
                 packed = [np.concatenate([x[use[s:e]].view(np.int64) for x in (g, f, owner)]).tobytes() for s, e in zip(at, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[use[at]], type=pa.int32()), pa.array(packed, type=pa.binary())], names=["part", "names"])
 

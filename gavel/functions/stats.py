@@ -18,7 +18,7 @@ k rows per map partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, floor
+from math import ceil, floor, isnan
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,10 +78,12 @@ def _lerp(lo: float, hi: float, t: float) -> float:
 
 def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: Sequence[float], chunk: int = 100) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation between order statistics, as numpy
-    computes them) of several numeric expressions; NULL and NaN are left out.
+    computes them) of several numeric expressions; NULL and NaN are left out. An
+    infinite value is a value like others; where interpolation between or with
+    infinite values has no value (numpy: NaN), the quantile is None.
 
-    Nothing but single rows is shuffled. One aggregate counts the values; then,
-    while the wanted order statistic's bracket holds more than ``BRACKET``
+    Nothing but single rows is shuffled. One aggregate counts the values and the
+    infinite ones, which settles the ranks that fall on those; then, while the wanted order statistic's bracket holds more than ``BRACKET``
     values, a mergeable quantile sketch of the bracket's interior names a
     narrower one (about 1/150 of it) and an exact count tells where the
     statistic lies; the last aggregate sorts the few values left. So the number
@@ -97,12 +99,13 @@ def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: Sequence[floa
             got.update({n: row[f"a{i}"] for i, n in enumerate(part)})
         return got
 
-    n = scan({c: F.count(e) for c, e in x.items()})
-    wanted = {(c, r) for c in x if n[c] for p in probs for r in (floor((n[c] - 1) * p), ceil((n[c] - 1) * p))}
     inf = float("inf")
+    first = scan({(c, i): e for c, v in x.items() for i, e in enumerate((F.count(v), F.count_if(v == F.lit(-inf)), F.count_if(v == F.lit(inf))))})
+    n, under, over = ({c: first[c, i] for c in x} for i in range(3))
+    wanted = {(c, r) for c in x if n[c] for p in probs for r in (floor((n[c] - 1) * p), ceil((n[c] - 1) * p))}
+    found: dict[tuple[str, int], float] = {(c, r): -inf for c, r in wanted if r < under[c]} | {(c, r): inf for c, r in wanted if r >= n[c] - over[c]}
     # (column, rank) -> open interval (lo, hi), values up to lo, values inside
-    state = {k: (-inf, inf, 0, n[k[0]]) for k in wanted}
-    found: dict[tuple[str, int], float] = {}
+    state = {k: (-inf, inf, under[k[0]], n[k[0]] - under[k[0]] - over[k[0]]) for k in wanted if k not in found}
 
     def inside(c: str, lo: float, hi: float) -> Column:
         return F.when((x[c] > F.lit(lo)) & (x[c] < F.lit(hi)), x[c])
@@ -118,22 +121,21 @@ def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: Sequence[floa
             F.count_if(inside(k[0], a, b).isNotNull()), F.count_if(x[k[0]] == F.lit(b))))})
         for k, (a, b) in edges.items():
             lo, hi, before, m = state[k]
-            under, at_a, mid, at_b = (counts[k, i] for i in range(4))
+            below, at_a, mid, at_b = (counts[k, i] for i in range(4))
             at_b = 0 if a == b else at_b
             r = k[1] - before
-            if r < under:
-                state[k] = (lo, a, before, under)
-            elif r < under + at_a:
+            if r < below:
+                state[k] = (lo, a, before, below)
+            elif r < below + at_a:
                 found[k] = a
-            elif r < under + at_a + mid:
-                state[k] = (a, b, before + under + at_a, mid)
-            elif r < under + at_a + mid + at_b:
+            elif r < below + at_a + mid:
+                state[k] = (a, b, before + below + at_a, mid)
+            elif r < below + at_a + mid + at_b:
                 found[k] = b
             else:
-                done = under + at_a + mid + at_b
+                done = below + at_a + mid + at_b
                 state[k] = (b, hi, before + done, m - done)
-    left = scan({k: F.array_sort(F.collect_list(inside(k[0], v[0], v[1]))) for k, v in state.items() if k not in found and v[0:2] != (-inf, inf)}
-                | {k: F.array_sort(F.collect_list(x[k[0]])) for k, v in state.items() if k not in found and v[0:2] == (-inf, inf)})
+    left = scan({k: F.array_sort(F.collect_list(inside(k[0], v[0], v[1]))) for k, v in state.items() if k not in found})
     found.update({k: values[k[1] - state[k][2]] for k, values in left.items()})
     out: dict[str, list[float | None]] = {}
     for c in x:
@@ -143,7 +145,8 @@ def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: Sequence[floa
                 out[c].append(None)
                 continue
             pos = (n[c] - 1) * p
-            out[c].append(_lerp(found[c, floor(pos)], found[c, ceil(pos)], pos - floor(pos)))
+            q = _lerp(found[c, floor(pos)], found[c, ceil(pos)], pos - floor(pos))
+            out[c].append(None if isnan(q) else q)
     return out
 
 

@@ -11,6 +11,8 @@ values themselves (top-k). Windows only run over aggregated frames or with a
 
 from __future__ import annotations
 
+from math import isnan
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,9 +144,14 @@ def profile_numeric(df: DataFrame) -> DataFrame:
 
 def iqr_bounds(df: DataFrame) -> dict[str, tuple[float, float, float, float]]:
     """column -> (q1, q3, lower, upper) from exact quartiles, for the numeric
-    columns with a value (two numbers a column, kept on the driver)."""
+    columns with both quartiles (two numbers a column, kept on the driver). A
+    bound that is undefined, as between infinite quartiles, is None: no value is
+    outside it."""
+    def bound(x: float) -> float | None:
+        return None if isnan(x) else x
+
     q = exact_quantiles(df, {c: col(c) for c in numeric_columns(df)}, [0.25, 0.75])
-    return {c: (a, b, a - IQR_FACTOR * (b - a), b + IQR_FACTOR * (b - a)) for c, (a, b) in q.items() if a is not None}
+    return {c: (a, b, bound(a - IQR_FACTOR * (b - a)), bound(b + IQR_FACTOR * (b - a))) for c, (a, b) in q.items() if a is not None and b is not None}
 
 
 def outlier_counts(df: DataFrame) -> DataFrame:
@@ -153,9 +160,9 @@ def outlier_counts(df: DataFrame) -> DataFrame:
     bounds = iqr_bounds(df)
     if not bounds:
         return df.sparkSession.createDataFrame([], "column_name string, q1 double, q3 double, lower double, upper double, outliers bigint")
-    outside = [F.count_if((col(c).cast("double") < F.lit(lo)) | (col(c).cast("double") > F.lit(hi))).alias(f"o{i}") for i, (c, (_a, _b, lo, hi)) in enumerate(bounds.items())]
+    outside = [F.count_if((col(c).cast("double") < F.lit(lo).cast("double")) | (col(c).cast("double") > F.lit(hi).cast("double"))).alias(f"o{i}") for i, (c, (_a, _b, lo, hi)) in enumerate(bounds.items())]
     rows = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"), F.lit(lo).alias("lower"), F.lit(hi).alias("upper"), F.col(f"o{i}").alias("outliers"))
+        F.struct(F.lit(c).alias("column_name"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"), F.lit(lo).cast("double").alias("lower"), F.lit(hi).cast("double").alias("upper"), F.col(f"o{i}").alias("outliers"))
         for i, (c, (q1, q3, lo, hi)) in enumerate(bounds.items())
     ])
     return df.agg(*outside).select(F.inline(rows))

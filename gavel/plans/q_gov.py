@@ -81,7 +81,8 @@ rj AS (SELECT run_id, last_model AS model, min(seq) AS fs FROM lm
 rjl AS (SELECT run_id, string_agg(model, ', ' ORDER BY fs) AS rejected_models FROM rj GROUP BY run_id),
 st0 AS (
   SELECT run_id, count(*) AS n_events, count_if(is_failed) AS failed_checks, count_if(is_rej) AS rejections,
-         arg_max(decision, CASE WHEN event_type = 'human_decision' THEN seq END) AS last_decision,
+         -- in a struct: arg_max skips NULL arguments, but the newest review counts even if unreadable
+         arg_max({'d': decision}, CASE WHEN event_type = 'human_decision' THEN seq END).d AS last_decision,
          arg_max(CASE WHEN cleaning_route = 'replan' THEN 'data_agent' WHEN review_route = 'back_to_plan' THEN 'human_reviewer' END,
                  CASE WHEN cleaning_route = 'replan' OR review_route = 'back_to_plan' THEN seq END) AS last_failure_source,
          arg_max(outcome, CASE WHEN outcome IS NOT NULL THEN seq END) AS final_outcome,

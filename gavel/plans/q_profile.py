@@ -293,12 +293,19 @@ def quality_flags_regression(spark, sf):
 # ---------------------------------------------------------------- PRJ-5
 @query(
     "sensitive_hint",
-    """WITH names AS (SELECT DISTINCT w AS column_name FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)),
+    with_("gov")
+    + """, names AS (SELECT DISTINCT w AS column_name FROM (
+  SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents
+  UNION ALL SELECT unnest(regexp_extract_all(html, '[A-Za-z]+')) FROM pages
+  UNION ALL SELECT column_name FROM (DESCRIBE SELECT * FROM gov))),
 k AS (SELECT unnest(['gender', 'sex', 'race', 'ethnicity', 'nationality', 'religion', 'age', 'disability', 'marital',
                      'zip', 'postal', 'income', 'education', 'occupation']) AS word)
 SELECT DISTINCT column_name, CAST(length(column_name) AS BIGINT) AS col_pos FROM names JOIN k ON contains(lower(column_name), word)""",
 )
 def sensitive_hint(spark, sf):
-    """PRJ-5 over as many names as the documents have words."""
-    words = fx.read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("column_name")).distinct()
+    """PRJ-5 over the governed table's columns and as many names as the
+    documents and pages have words."""
+    texts = fx.read(spark, sf, "documents").select("text").unionAll(fx.read(spark, sf, "pages").select("html"))
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("column_name"))
+    words = words.unionAll(spark.createDataFrame([(c,) for c in fx.gov(spark, sf).columns], "column_name string")).distinct()
     return P.sensitive_hint(words.withColumn("col_pos", F.length("column_name").cast("long")))

@@ -20,5 +20,17 @@ def test_query_matches_oracle(spark, con, name):
     assert r["status"] == "ok", r
 
 
+@pytest.mark.parametrize("name", ["run_state", "run_status", "stream_run_state"])
+def test_run_folds_match_on_more_rows(spark, name):
+    """The smaller log holds no run that ends in an unreadable decision."""
+    sf = "/root/testdata/sf0.01"
+    r = compare(spark, duck(sf), name, QUERIES[name], ORACLES[name], sf)
+    assert r["status"] == "ok", r
+
+
+def test_sensitive_names_are_found(spark):
+    assert QUERIES["sensitive_hint"](spark, SF).count() > 0
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)

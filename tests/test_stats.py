@@ -28,6 +28,34 @@ def test_exact_quantiles_match_numpy(spark, monkeypatch):
         assert got["one"] == [5.0] * 6 and got["none"] == [None] * 6
 
 
+def test_exact_quantiles_with_infinities(spark):
+    """As numpy at 5 and at 50,000 rows: ranks on infinite values, beside them,
+    and interpolation that has no value."""
+    inf, probs = float("inf"), [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    for n in (5, 50_000):
+        x = np.arange(n, dtype=float)
+        cols = {
+            "low": np.where(x < n // 5, -inf, x), "high": np.where(x >= n - 2 * n // 5, inf, x),
+            "both": np.where(x % 3 == 0, -inf, np.where(x % 3 == 1, inf, x)), "all": np.full(n, inf), "none": x,
+        }
+        df = spark.createDataFrame([tuple(float(v[i]) for v in cols.values()) for i in range(n)], ", ".join(f"`{c}` double" for c in cols))
+        got = stats.exact_quantiles(df, {c: F.col(f"`{c}`") for c in cols}, probs)
+        for c, v in cols.items():
+            with np.errstate(invalid="ignore"):
+                # on a whole rank numpy adds 0 * inf of the next one, which has no value; the rank's own value stands here
+                want = [np.quantile(v, p) if (n - 1) * p % 1 else np.sort(v)[int((n - 1) * p)] for p in probs]
+            assert got[c] == [None if np.isnan(w) else w for w in want], (c, n)
+
+
+def test_outliers_with_infinities(spark):
+    from gavel.operators import profile as P
+
+    inf = float("inf")
+    rows = [(float(i), -inf if i < 10 else float(i), inf, inf if i < 20 else -inf) for i in range(41)] + [(-inf, inf, inf, 0.0)]
+    got = {r.column_name: r.outliers for r in P.outliers_iqr(spark.createDataFrame(rows, "a double, b double, c double, d double")).collect()}
+    assert got == {"a": 1, "b": 11}
+
+
 def test_weight_before_matches_window(spark):
     rows = [(g, float(v), int(w)) for g in ("x", "y") for v, w in zip(range(40), [1, 3, 2, 5] * 10)]
     df = spark.createDataFrame(rows, "g string, v double, w long")

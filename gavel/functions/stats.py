@@ -145,7 +145,7 @@ def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: Sequence[floa
                 out[c].append(None)
                 continue
             pos = (n[c] - 1) * p
-            q = _lerp(found[c, floor(pos)], found[c, ceil(pos)], pos - floor(pos))
+            q = _lerp(found[c, floor(pos)], found[c, ceil(pos)], pos - floor(pos)) if pos % 1 else found[c, floor(pos)]
             out[c].append(None if isnan(q) else q)
     return out
 

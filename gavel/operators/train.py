@@ -7,24 +7,25 @@ rows with the smallest hash; ranks come from ``weight_before``, a
 range-partitioned prefix sum (never a window over a whole class).
 
 Model mapping (regularisation as in the reference's estimators):
-logistic C=1 -> regParam 1/n, no standardisation; random forest 100 trees;
-boosted trees 100 rounds (deep: depth 6, rate 0.3; shallow: depth 3, rate
-0.1, one-vs-rest beyond two classes); ridge alpha 1 -> regParam
-alpha*std_pop(y)/n with the normal solver; lasso alpha 0.1 -> regParam 0.1.
+logistic C=1 -> regParam 1/n, no standardisation; random forest 100 trees
+without a depth limit and boosted trees of second order (100 rounds, depth 6,
+rate 0.3) -> ``operators.trees``; first-order boosted trees (100 rounds, depth
+3, rate 0.1, one-vs-rest beyond two classes) -> Spark ML; ridge alpha 1 ->
+regParam alpha*std_pop(y)/n with the normal solver; lasso alpha 0.1 -> regParam
+0.1.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions.exprs import col
 from gavel.functions.stats import weight_before
+from gavel.operators import trees
 
 SEED = 42
 TEST_FRACTION = 0.20
@@ -86,44 +87,35 @@ def prepare(df: DataFrame, target: str, keys: tuple[str, ...], task: str, classe
     return rows.select("row", "is_test", label.cast("double").alias("label"), "features")
 
 
-# Spark ML's trees go no deeper than 30; the forests of the reference have no
-# depth limit. Deep trees of small nodes are what makes forests slow, so the
-# depth is a parameter. MAX_BINS bounds the split candidates of a feature.
-MAX_DEPTH = 30
-MAX_BINS = 32
-
-
-def estimator(impl: str, task: str, n_train: int, n_classes: int = 2, y_std: float | None = None, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS):
-    if task == "classification":
-        if impl == "logistic":
-            # tol 1e-4: the convergence tolerance of the reference estimator
-            return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, family="auto", tol=1e-4)
-        if impl == "random_forest":
-            return RandomForestClassifier(numTrees=100, seed=SEED, maxDepth=max_depth, maxBins=max_bins)
-        if impl in ("gbt_deep", "gbt_shallow"):
-            depth, rate = (6, 0.3) if impl == "gbt_deep" else (3, 0.1)
-            g = GBTClassifier(maxIter=100, maxDepth=depth, stepSize=rate, seed=SEED, maxBins=max_bins)
+def estimator(impl: str, task: str, n_train: int, n_classes: int = 2, y_std: float | None = None):
+    """The Spark ML estimator of a model that Spark ML has."""
+    if impl == "gbt_shallow":
+        if task == "classification":
+            g = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
             return g if n_classes <= 2 else OneVsRest(classifier=g)
-    else:
-        if impl == "random_forest":
-            return RandomForestRegressor(numTrees=100, seed=SEED, maxDepth=max_depth, maxBins=max_bins)
-        if impl in ("gbt_deep", "gbt_shallow"):
-            depth, rate = (6, 0.3) if impl == "gbt_deep" else (3, 0.1)
-            return GBTRegressor(maxIter=100, maxDepth=depth, stepSize=rate, seed=SEED, maxBins=max_bins)
-        if impl == "ridge":
-            return LinearRegression(elasticNetParam=0.0, regParam=(y_std or 1.0) / max(n_train, 1), solver="normal", standardization=False)
-        if impl == "lasso":
-            return LinearRegression(elasticNetParam=1.0, regParam=0.1, standardization=False)
+        return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
+    if task == "classification" and impl == "logistic":
+        # tol 1e-4: the convergence tolerance of the reference estimator
+        return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, family="auto", tol=1e-4)
+    if task == "regression" and impl == "ridge":
+        return LinearRegression(elasticNetParam=0.0, regParam=(y_std or 1.0) / max(n_train, 1), solver="normal", standardization=False)
+    if task == "regression" and impl == "lasso":
+        return LinearRegression(elasticNetParam=1.0, regParam=0.1, standardization=False)
     raise ValueError(f"no {task} implementation {impl!r}")
 
 
 def fit(train: DataFrame, impl: str, task: str, n_classes: int | None = None, **options):
     """Fit one candidate on a prepared frame (label, features). One aggregate
-    gives the row count, the label deviation and the number of classes."""
+    gives the row count, the label deviation and the number of classes.
+    ``max_depth`` limits forests, ``rounds`` and ``depth`` second-order boosting."""
     r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd"), F.max("label").alias("top")).first()
     if n_classes is None:
-        n_classes = int(r["top"] or 0) + 1 if task == "classification" else 2
-    return estimator(impl, task, r["n"], n_classes, r["sd"], **options).fit(train)
+        n_classes = max(2, int(r["top"] or 0) + 1) if task == "classification" else 2
+    if impl == "random_forest":
+        return trees.fit_forest(train, task, n_classes, seed=SEED, max_depth=options.get("max_depth", 0))
+    if impl == "gbt_deep":
+        return trees.fit_boosted(train, task, n_classes, rounds=options.get("rounds", 100), depth=options.get("depth", 6), seed=SEED)
+    return estimator(impl, task, r["n"], n_classes, r["sd"]).fit(train)
 
 
 def predictions(model, df: DataFrame, name: str, task: str) -> DataFrame:
@@ -133,11 +125,3 @@ def predictions(model, df: DataFrame, name: str, task: str) -> DataFrame:
         score = F.element_at(vector_to_array("probability"), 2) if "probability" in p.columns else F.col("prediction")
         return p.select(F.lit(name).alias("model"), F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("pred"), score.alias("score"))
     return p.select(F.lit(name).alias("model"), F.col("label").alias("y"), F.col("prediction").alias("yhat"))
-
-
-def as_pipeline(model, assembler_cols: list[str]) -> PipelineModel:
-    """Wrap a fitted model with its assembler so one artifact predicts from
-    the cleaned table (SRC-4)."""
-    asm = VectorAssembler(inputCols=assembler_cols, outputCol="features", handleInvalid="keep")
-    return PipelineModel(stages=[asm, model])
-

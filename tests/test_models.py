@@ -61,40 +61,28 @@ BINARY = lambda v: v[0] + 0.5 * v[1] * v[2] > 0
 THREE = lambda v: (v[0] > 0.3) + (v[0] + v[1] > 0.8)
 
 
-@pytest.mark.parametrize("impl,task,label", [
-    ("random_forest", "classification", BINARY), ("random_forest", "classification", THREE),
-    ("gbt_shallow", "classification", BINARY), ("gbt_shallow", "regression", lambda v: v[0] * v[1]),
-    ("random_forest", "regression", lambda v: v[0] * v[1]),
-])
-def test_tree_attributions_add_up(spark, impl, task, label):
-    """Local accuracy for every kind of tree model: attributions and base value
+@pytest.mark.parametrize("task,label", [("classification", BINARY), ("regression", lambda v: v[0] * v[1])])
+def test_shallow_attributions_add_up(spark, task, label):
+    """Local accuracy for Spark ML's boosted trees: attributions and base value
     sum to the model's output."""
     data = _prepared(spark, _rows(label), task)
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-    model = TR.fit(train, impl, task, max_depth=4)
-    path = shared_path(spark, "tests", f"{impl}-{task}-{uuid.uuid4().hex}")
+    model = TR.fit(train, "gbt_shallow", task)
+    path = shared_path(spark, "tests", f"{task}-{uuid.uuid4().hex}")
     X.explain(spark, model, test, train, ["a", "b", "c"], path).collect()
-    scored = model.transform(test)
-    if task == "regression":
-        outs = {None: F.col("prediction")}
-    elif impl == "random_forest":
-        outs = {k: F.element_at(vector_to_array("probability"), k + 1) for k in range(model.numClasses)}
-    else:  # boosted classifiers: the margin, half of the raw prediction's spread
-        outs = {None: F.element_at(vector_to_array("rawPrediction"), 2)}
-    for k, y in outs.items():
-        trees = X.node_tables(spark, path, k)
-        got = scored.select(vector_to_array("features").alias("x"), y.alias("y")).toPandas()
-        phi, base = X.shap_values(trees, np.stack(got["x"].to_numpy()), impl == "random_forest")
-        assert np.abs(phi.sum(axis=1) + base - got["y"].to_numpy()).max() < 1e-6
-        spread = X.tree_attributions(spark, test, "features", trees, impl == "random_forest", 3).toPandas()
-        assert np.allclose(np.abs(np.stack(spread["phi"].to_numpy())).mean(axis=0), np.abs(phi).mean(axis=0))
+    # of a classifier the margin, half of the raw prediction's spread
+    y = F.col("prediction") if task == "regression" else F.element_at(vector_to_array("rawPrediction"), 2)
+    trees = X.node_tables(spark, path)
+    got = model.transform(test).select(vector_to_array("features").alias("x"), y.alias("y")).toPandas()
+    phi, base = X.shap_values(trees, np.stack(got["x"].to_numpy()))
+    assert np.abs(phi.sum(axis=1) + base - got["y"].to_numpy()).max() < 1e-6
 
 
 def test_explanations_by_model_class(spark):
     for impl, task, label in (("logistic", "classification", THREE), ("logistic", "classification", BINARY), ("ridge", "regression", lambda v: 3 * v[0]), ("gbt_shallow", "classification", THREE)):
         data = _prepared(spark, _rows(label), task)
         train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-        model = TR.fit(train, impl, task, **({"max_depth": 3} if impl == "x" else {}))
+        model = TR.fit(train, impl, task)
         got = X.explain(spark, model, test, train, ["a", "b", "c"], shared_path(spark, "tests", uuid.uuid4().hex)).toPandas().set_index("feature").importance
         assert len(got) == 3 and got["a"] == got.max() and (got >= 0).all()
 
@@ -105,8 +93,11 @@ def test_stratified_split_takes_the_share_of_each_class(spark):
     assert got == {("rare", True): 20, ("rare", False): 80, ("common", True): 180, ("common", False): 720}
 
 
-def test_registered_forests_have_the_default_depth(monkeypatch):
+def test_registered_forests_have_no_depth_limit(monkeypatch):
     from gavel.plans import q_model
 
-    monkeypatch.setattr(q_model.TR, "fit", lambda train, impl, task, **kw: kw)
-    assert q_model._fit(None, "random_forest", "classification").get("max_depth", q_model.TR.MAX_DEPTH) == 30
+    seen = {}
+    monkeypatch.setattr(q_model.TR.trees, "fit_forest", lambda train, task, n, **kw: seen.update(kw))
+    monkeypatch.setattr(q_model.TR, "fit", lambda train, impl, task, **kw: q_model.TR.trees.fit_forest(train, task, 2, max_depth=kw.get("max_depth", 0)))
+    q_model._fit(None, "random_forest", "classification")
+    assert seen == {"max_depth": 0}

@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,6 +208,45 @@ def shap_tree(spark, sf):
     return X.top_features(X.explain(spark, model, test, train, feats, _fresh(spark, "models")), 5)
 
 
+@query("shap_tree_sample")
+def shap_tree_sample(spark, sf):
+    """Top-5 TreeSHAP features of the boosted trees of second order over the
+    reference's choice of 200 test rows."""
+    _res, _cleaned, prepared, feats = cleaned_split(spark, sf)
+    train, test = prepared.where(~F.col("is_test")), prepared.where(F.col("is_test"))
+    model = TR.fit(train, "gbt_deep", "classification", rounds=20)
+    some = X.sample_rows(test, F.col("row.order_id"))
+    return X.top_features(X.explain(spark, model, some, train, feats, _fresh(spark, "models")), 5)
+
+
+# ---------------------------------------------------------------- TRN-7: the first tree against its definition
+# Few values a feature, so that the cuts are all values and SQL can try them all.
+_FIRST = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber", "ship_month": "year(l_shipdate) * 12 + month(l_shipdate)"}
+
+
+@query(
+    "boost_first_tree",
+    "WITH r AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, "
+    + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _FIRST.items())
+    + " FROM lineitem),\nb AS (SELECT avg(y) AS p, count(*) AS n, sum(y) AS s FROM r),\nv AS ("
+    + "\nUNION ALL ".join(f"SELECT {i} AS pos, '{n}' AS feature, {n} AS value, count(*) AS n, sum(y) AS s FROM r GROUP BY {n}" for i, n in enumerate(_FIRST))
+    + """),
+c AS (SELECT pos, feature, value, sum(n) OVER w AS n, sum(s) OVER w AS s FROM v WINDOW w AS (PARTITION BY pos ORDER BY value)),
+g AS (SELECT pos, feature, value, c.n * p - c.s AS gl, c.n * p * (1 - p) AS hl, (b.n - c.n) * p - (b.s - c.s) AS gr, (b.n - c.n) * p * (1 - p) AS hr FROM c, b)
+SELECT feature, value AS threshold, round(-0.3 * gl / (hl + 1), 6) AS left_weight, round(-0.3 * gr / (hr + 1), 6) AS right_weight,
+       round(hl, 4) AS left_hessian, round(hr, 4) AS right_hessian
+FROM g WHERE hl >= 1 AND hr >= 1 ORDER BY gl * gl / (hl + 1) + gr * gr / (hr + 1) DESC, pos, value LIMIT 1""",
+)
+def boost_first_tree(spark, sf):
+    """Root split and leaf weights of one boosting round at depth 1, by shuffled
+    histogram sums."""
+    rows = fx.read(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), array_to_vector(F.array(*[F.expr(e).cast("double") for e in _FIRST.values()])).alias("features"))
+    t = TR.trees.fit_boosted(rows, "classification", 2, rounds=1, depth=1, group_rows=1).tops[0]
+    a, b = int(t.left[0]), int(t.right[0])
+    row = (list(_FIRST)[t.feature[0]], float(t.threshold[0]), *[round(float(t.value[j, 0]), 6) for j in (a, b)], *[round(float(t.cover[j]), 4) for j in (a, b)])
+    return spark.createDataFrame([row], "feature string, threshold double, left_weight double, right_weight double, left_hessian double, right_hessian double")
+
+
 # ---------------------------------------------------------------- flagship
 FLAGSHIP_CANDIDATES = ["gender", "region", "segment", "priority", "nation", "express"]
 

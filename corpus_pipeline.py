@@ -9,6 +9,13 @@ last return the columns of documents:
 3. near dedup: one document of each near-duplicate component stays (smallest id);
 4. mixing: each document is repeated 0, 1 or 2 times towards its source's target;
 5. byte-level BPE: the token ids of every whole text.
+
+Defined cases: an empty table gives no rows; a null text, or one without a
+letter, goes in the first stage; a null id, language or source is kept as it is
+(a null id is below all ids where one of equal texts stays; all null sources are
+one source); repeated rows count as copies; rows with equal ids but different
+texts are different documents to all stages but near dedup, which names a
+component by its smallest id; extra columns go along and never clash.
 """
 
 from __future__ import annotations
@@ -54,8 +61,8 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: Language inference, minhash and BPE have no SQL form; tests/llm compares each
-#: stage with a brute-force version.
+#: Language inference, minhash and BPE have no SQL form; tests/llm compares
+#: what each stage keeps with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -31,6 +31,19 @@ def worker_memory() -> dict:
     return sys.modules.setdefault("training_data_worker_memory", types.ModuleType("training_data_worker_memory")).__dict__
 
 
+def release_memory() -> None:
+    """Give the freed memory of a Python worker back to the system: workers are
+    reused, and the next stage's tasks share the executor's limit with it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

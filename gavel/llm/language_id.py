@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavel.llm import common
-from gavel.llm.common import by_value, slices
+from gavel.llm.common import by_value, release_memory, slices
 
 by_value(sys.modules[__name__])
 by_value(common)
@@ -33,7 +33,7 @@ by_value(common)
 GRAMS = 1 << 16
 #: Letters a-z keep their byte, UTF-8 bytes above 127 too; all else is a space.
 KEEP = np.array([c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ROUNDS = 12
 UNKNOWN = "und"
 
@@ -79,6 +79,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["lang", "gram", "n"])
+        release_memory()
 
     counts = src.mapInArrow(add_up, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # languages x GRAMS rows at most
@@ -162,6 +163,7 @@ def predict(rows: DataFrame, langs: list[str], model: np.ndarray, id_col: str =
                         sets[at[i]] = [(langs[j], float(share[i, j])) for j in np.flatnonzero(chosen[i])]
                 arrays = [part.column(0), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(sets, pa.map_(pa.string(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(arrays + ([part.column(2)] if carry else []), names=["id", "lang_pred", "score", "languages"] + (["row"] if carry else []))
+        release_memory()
 
     if carry:
         from pyspark.sql.types import StructType

@@ -1,9 +1,10 @@
 """Tokenizer encoding over Arrow batches, by distinct pieces.
 
 The tokenizers here never merge across certain spaces, so a text is cut there,
-the distinct pieces of a batch are encoded once by the ``tokenizers`` library
-(and remembered by the worker up to ``REMEMBER`` pieces), and the ids of a text
-are gathered from those of its pieces. Whole texts are encoded, and the result
+the distinct pieces of a batch are encoded once by the ``tokenizers`` library,
+and the ids of a text are gathered from those of its pieces. The worker
+remembers pieces of up to ``LONGEST`` bytes, ``REMEMBER`` bytes in all; longer
+ones (whole texts that cannot be cut) are encoded in every batch. Whole texts are encoded, and the result
 is that of encoding each text in one call.
 """
 
@@ -25,7 +26,7 @@ by_value(common)
 by_value(word_hash)
 
 CHUNK = 2 << 20
-REMEMBER = 1_000_000
+REMEMBER, LONGEST = 16 << 20, 64
 
 
 def ragged(starts, lens):
@@ -57,6 +58,7 @@ class Pieces:
     def clear(self):
         self.names, self.hashes, self.slots = pa.array([], pa.string()), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.ids, self.start = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.held = 0
 
     def ask(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces from the library."""
@@ -74,7 +76,7 @@ class Pieces:
 
     def encode(self, pieces: pa.Array):
         """(flat ids, start, length) of each piece."""
-        if len(self.names) > REMEMBER:
+        if self.held > REMEMBER:
             self.clear()
         h = string_hashes(pieces)
         at = np.searchsorted(self.hashes, h)
@@ -86,19 +88,37 @@ class Pieces:
             slot[hit] = self.slots[near[hit]]
             same = np.asarray(pc.equal(pieces.filter(pa.array(hit)), self.names.take(pa.array(slot[hit]))))
             hit[np.flatnonzero(hit)[~same]] = False
-        if not hit.all():
-            new = np.flatnonzero(~hit)
+        known, new = np.flatnonzero(hit), np.flatnonzero(~hit)
+        first = self.start[slot[known]]
+        length = np.zeros(len(h), dtype=np.int64)
+        length[known] = self.start[slot[known] + 1] - first
+        flat = [self.ids[ragged(first, length[known])]]
+        if len(new):
             fresh = pieces.take(pa.array(new))
             got = self.ask(fresh.to_pylist())
-            lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(lens.sum()))
-            slot[new] = len(self.names) + np.arange(len(new))
-            order = np.argsort(h[new], kind="stable")
-            self.hashes, self.slots = np.insert(self.hashes, at[new][order], h[new][order]), np.insert(self.slots, at[new][order], slot[new][order])
-            self.names = pa.concat_arrays([self.names, fresh])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lens)])
-            self.ids = np.concatenate([self.ids, flat])
-        return self.ids, self.start[slot], self.start[slot + 1] - self.start[slot]
+            length[new] = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+            flat.append(np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(length[new].sum())))
+            self.remember(fresh, h[new], length[new], flat[-1])
+        order = np.concatenate([known, new])
+        start = np.zeros(len(h), dtype=np.int64)
+        start[order] = np.cumsum(length[order]) - length[order]
+        return np.concatenate(flat), start, length
+
+    def remember(self, pieces: pa.Array, hashes, lens, flat):
+        """Add the short ones of new pieces with their ids."""
+        size = np.asarray(pc.binary_length(pieces))
+        short = np.flatnonzero(size <= LONGEST)
+        if not len(short):
+            return
+        ids = flat[ragged((np.cumsum(lens) - lens)[short], lens[short])]
+        order = np.argsort(hashes[short], kind="stable")
+        sorted_hashes = hashes[short][order]
+        at = np.searchsorted(self.hashes, sorted_hashes)
+        self.hashes, self.slots = np.insert(self.hashes, at, sorted_hashes), np.insert(self.slots, at, len(self.names) + order)
+        self.names = pa.concat_arrays([self.names, pieces.take(pa.array(short))])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lens[short])])
+        self.ids = np.concatenate([self.ids, ids])
+        self.held += int(size[short].sum())
 
 
 def encode_texts(memo: Pieces, texts: pa.Array, cut):
@@ -115,11 +135,20 @@ def encode_texts(memo: Pieces, texts: pa.Array, cut):
     return flat, sums[first[1:] - first[0]] - sums[first[:-1] - first[0]]
 
 
-def lower_words(texts: pa.Array) -> pa.Array:
+def lower_words(texts: pa.Array, special: str = "") -> pa.Array:
     """For lower-casing tokenizers that drop white space and split letters from
     marks: cut at runs of space and \\t..\\r, and between a letter a-z and the
-    stops after it. A-Z are lower-cased beforehand, so fewer pieces differ."""
-    return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,;:!?]+)", r"\1 \2"))
+    stops after it. A-Z are lower-cased beforehand, so fewer pieces differ.
+    Texts that match the pattern ``special`` stay whole and as they are."""
+    odd = np.asarray(pc.match_substring_regex(texts, special)) if special else np.zeros(len(texts), dtype=bool)
+    plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+    cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-z])([.,;:!?]+)", r"\1 \2"))
+    if not odd.any():
+        return cut
+    off = np.asarray(cut.offsets).astype(np.int64) - cut.offsets[0].as_py()
+    at = np.zeros(int(off[-1]), dtype=bool)
+    at[off[:-1][odd]] = True  # the empty text is one empty piece
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pc.replace_with_mask(cut.flatten(), pa.array(at), texts.filter(pa.array(odd))))
 
 
 def before_spaces(texts: pa.Array) -> pa.Array:

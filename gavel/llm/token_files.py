@@ -149,22 +149,32 @@ def unpack(words, lanes, n: int) -> np.ndarray:
     return out.reshape(len(lanes), width)[:, :LANE].reshape(-1)[:n]
 
 
-def _worker(path: str) -> Pieces:
+def special_pattern(tok) -> str:
+    """Matches texts that hold the string of an added token, in any case."""
+    import re
+
+    return "|".join("(?i:" + re.escape(t.content) + ")" for t in tok.get_added_tokens_decoder().values())
+
+
+def _worker(path: str, split_special: bool) -> tuple[Pieces, str]:
     memory = worker_memory()
-    if path not in memory:
+    key = f"{path} {split_special}"
+    if key not in memory:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        memory[path] = Pieces(tok, PLAIN, byte_characters())
-    return memory[path]
+        tok.encode_special_tokens = split_special
+        memory[key] = Pieces(tok, PLAIN, byte_characters()), special_pattern(tok)
+    return memory[key]
 
 
 BLOCKS = "part int, block int, before long, n_ids long, docs array<long>, lens array<long>, words binary, lanes binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every whole text, append ``end_id``, write the file set."""
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", split_special: bool = False) -> None:
+    """Encode every whole text, append ``end_id``, write the file set. The string
+    of a special token within a text gives that token's id, as in the library's
+    plain call; with ``split_special`` it is ordinary text."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = src.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").select("id", "t")
@@ -175,7 +185,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        memo = _worker(tokenizer_path)
+        memo, special = _worker(tokenizer_path, split_special)
         part, block, before = TaskContext.get().partitionId(), 0, 0
         held: list = []  # (document ids, lens, ids) not yet written
 
@@ -190,7 +200,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("words", pa.binary()), ("lanes", pa.binary())])
         for batch in batches:
             for piece in slices(batch, "t", CHUNK):
-                flat, lens = encode_texts(memo, piece.column(1), lower_words)
+                flat, lens = encode_texts(memo, piece.column(1), lambda t: lower_words(t, special))
                 ends = np.cumsum(lens + 1)
                 ids = np.full(int(ends[-1]) if len(ends) else 0, end_id, dtype=np.uint64)
                 ids[ragged(ends - lens - 1, lens)] = flat

@@ -21,15 +21,16 @@ def tiktoken_encoding():
 def word_tokenizer():
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(vocabulary(WORD_TOKENIZER))
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(vocabulary(WORD_TOKENIZER))
+
+
+SPECIAL = ["<|endoftext|> x", "a<|startoftext|>b. C", "A <|ENDOFTEXT|>. b", "x <|EndOfText|><|endoftext|>", "<|endoftext |>"]
 
 
 def random_texts(n, seed):
     r = random.Random(seed)
     odd = list("aabbcedtinosr  \n\t'sS.,!?0123456éüßñ中文日😀́‍\xa0　\x85\x1c\x0b\x0c​İΣ")
-    return ["".join(r.choice(odd) for _ in range(r.randrange(50))) for _ in range(n)] + ["", " ", "  ", "a ", "<|endoftext|> x"]
+    return ["".join(r.choice(odd) for _ in range(r.randrange(50))) for _ in range(n)] + SPECIAL + ["", " ", "  ", "a "]
 
 
 def split_ids(flat, lens):
@@ -46,7 +47,26 @@ def test_pieces_give_the_ids_of_whole_texts():
     tok = word_tokenizer()
     memo = encode.Pieces(tok, token_files.PLAIN, byte_bpe.byte_characters())
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-    assert split_ids(*encode.encode_texts(memo, pa.array(texts), encode.lower_words)) == want
+    for _ in range(2):  # the second time from memory
+        assert split_ids(*encode.encode_texts(memo, pa.array(texts), lambda t: encode.lower_words(t, token_files.special_pattern(tok)))) == want
+
+
+def test_long_pieces_are_not_remembered():
+    texts = [f"{i}  " + "word " * 200 for i in range(50)]  # double spaces: texts that are not cut
+    memo = encode.Pieces(byte_bpe.build(byte_bpe.read_ranks(vocabulary(BYTE_RANKS)), split_pattern()))
+    for _ in range(2):
+        assert split_ids(*encode.encode_texts(memo, pa.array(texts), encode.before_spaces)) == [tiktoken_encoding().encode_ordinary(t) for t in texts]
+    assert len(memo.names) == 0 and memo.held == 0
+
+
+def test_special_strings_in_token_files(spark):
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    for split in (False, True):
+        path, tok = token_files.new_path(spark), word_tokenizer()
+        tok.encode_special_tokens = split
+        token_files.write(docs, path, vocabulary(WORD_TOKENIZER), END_ID, split_special=split)
+        back = {r.doc_id: list(r.ids) for r in token_files.read_ids(spark, path).collect()}
+        assert back == {i: tok.encode(t, add_special_tokens=False).ids + [END_ID] for i, t in enumerate(SPECIAL)}
 
 
 def test_byte_bpe_query_on_every_text(spark, sf_small):

@@ -54,7 +54,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: all that came from them
+    is written. Shuffle files of finished frames go as well."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release_shuffles(tables[0].sparkSession)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark's cleaner deletes the shuffle files of
+    frames that are referred to no more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_of(col: Column | str) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.llm import common, word_hash
-from gavel.llm.common import by_value, staged, text_of
+from gavel.llm.common import by_value, discard, release_shuffles, staged, text_of
 from gavel.llm.word_hash import blend, hash_words, text_runs
 
 by_value(sys.modules[__name__])
@@ -202,10 +202,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        star = staged(small, "stars")
+        old, star = star, staged(small, "stars")
+        discard(old)
         got = star.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 24)), F.countDistinct("u")).first()
         if not got[0] or (got[0] == got[2] and tuple(got) == state):
-            return star.select(F.col("u").alias("name"), F.col("v").alias("comp"))
+            named = star.select(F.col("u").alias("name"), F.col("v").alias("comp"))
+            named.staged_at = star.staged_at
+            return named
         state = tuple(got)
 
 
@@ -219,7 +222,9 @@ def _bucketed(member: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     most ``small``, in larger ones each with a random centre; members of the
     larger."""
     buckets = staged(member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("name", _lot(0)).alias("centre")).filter("size > 1"), "buckets")
+    release_shuffles(member.sparkSession)
     member = staged(member.join(buckets, "key"), "bucket-members")  # classes alone in their buckets are gone
+    discard(buckets)
     few = member.filter(F.col("size") <= small)
     close = few.select("key", F.col("name").alias("a")).join(few.select("key", F.col("name").alias("b")), "key").filter("a < b").select("a", "b")
     large = member.filter(F.col("size") > small)
@@ -244,13 +249,15 @@ def connect(sigs: DataFrame, sets_of, percent: int, bands: int = BANDS, rows: in
     wanted = found.select(F.col("a").alias("name")).union(found.select(F.col("b").alias("name"))).union(many.select("name")).distinct()
     sets = staged(sets_of(sigs.select("name", "rep").join(wanted, "name", "left_semi")), "sets")
     links = staged(_verified(found, sets, percent), "links")
+    discard(found)
     comp = components(links)
 
     def add(pairs: DataFrame) -> None:
         nonlocal links, comp
         more = staged(_verified(_pruned(pairs, sigs, percent / 100, total), sets, percent), "links")
         if not more.isEmpty():
-            links = staged(links.union(more), "links")
+            old, links = links, staged(links.union(more), "links")
+            discard(old, more, comp)
             comp = components(links)
 
     # large buckets that are not one component: other random centres

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.llm import common, near_dedup, word_hash
-from gavel.llm.common import by_value, staged, text_of
+from gavel.llm.common import by_value, discard, release_shuffles, staged, text_of
 from gavel.llm.near_dedup import ODD, connect, set_names, shingle_sets
 from gavel.llm.word_hash import blend, hash_words, text_runs
 
@@ -169,14 +169,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     paragraphs that repeat across documents."""
     # anchored passages: classes of equal words in two documents or more
     runs = units(docs, id_col, text_col)
-    twice = staged(runs.groupBy("name", "check").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("copies")).filter("lo != hi").drop("hi"), "passages")
-    at_windows = runs.join(twice, ["name", "check"]).select("id", "first", F.lit(WINDOW).alias("words"), "lo", "copies")
+    # by name alone first: few of the passages reach the second step
+    named = staged(runs.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("name"), "passage-names")
+    release_shuffles(docs.sparkSession)
+    some = staged(runs.join(named, "name", "left_semi"), "passages")
+    discard(named)
+    twice = some.groupBy("name", "check").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("copies")).filter("lo != hi").drop("hi")
+    at_windows = some.join(twice, ["name", "check"]).select("id", "first", F.lit(WINDOW).alias("words"), "lo", "copies")
     # paragraphs: classes of equal shingle sets, linked by similarity
-    lines = staged(paragraphs(docs, id_col, text_col), "lines")
+    signed = staged(paragraphs(docs, id_col, text_col), "signed-lines")
+    lines = staged(signed.drop("sig"), "lines")
     classes = lines.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("copies"))
     classes = staged(classes, "paragraphs")
-    sigs = lines.select("name", "id", "sig").join(classes.select("name", F.col("lo").alias("rep")), "name").filter(F.col("id").eqNullSafe(F.col("rep")))
+    sigs = signed.select("name", "id", "sig").join(classes.select("name", F.col("lo").alias("rep")), "name").filter(F.col("id").eqNullSafe(F.col("rep")))
     sigs = staged(sigs.select("name", "rep", "sig").dropDuplicates(["name"]), "paragraph-signatures")
+    discard(signed)
     comp = connect(sigs, lambda wanted: _paragraph_sets(docs, wanted, id_col, text_col), percent, BANDS, ROWS)
     named = classes.join(comp, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
     groups = named.groupBy("comp").agg(F.min("lo").alias("first_id"), F.max("hi").alias("last_id"), F.sum("copies").alias("copies")).filter("first_id != last_id")

@@ -14,7 +14,9 @@ continued by another driver.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,19 +60,20 @@ class RunResult:
 
 
 class EventLog:
-    """Buffered appends to one run's events; ids continue the stored ones."""
+    """Buffered appends to one run's events; the log gives their ids when they
+    are committed, so several writers may append to one log."""
 
     def __init__(self, spark: SparkSession, path: str, run_id: str):
         self.spark, self.path, self.run_id, self.rows = spark, path, run_id, []
-        self.last = events_io.last_seq(spark, path, run_id)
+        self.token = uuid.uuid4().hex
 
     def add(self, event_type: str, summary: str, details: dict, source: str = "automated") -> None:
-        self.last += 1
-        self.rows.append((self.run_id, self.last, event_type, source, summary, json.dumps(details, default=str)))
+        self.rows.append((self.run_id, len(self.rows), event_type, source, summary, json.dumps(details, default=str)))
 
     def flush(self) -> None:
         if self.rows:
-            events_io.append_events(events_io.new_events(self.spark, self.rows), self.path)
+            self.token = uuid.uuid4().hex
+            events_io.commit_events(events_io.new_events(self.spark, self.rows), self.path, self.token)
         self.rows = []
 
     def outcome(self, status: str, retries: int, reroutes: int, **more) -> str:
@@ -132,9 +135,15 @@ def run_governed(
 
 def retrain(spark: SparkSession, result: RunResult, **model_options) -> RunResult:
     """Train again on the run's stored cleaned table, without the models that
-    the review rejected (read from the event log)."""
+    the review rejected (read from the event log). Only a run whose newest event
+    is a review that sends it back to training may be trained again."""
     events = events_io.read_events(spark, result.events_path).where(F.col("run_id") == result.run_id)
-    rejected = list(G.run_state(G.typed(events)).first()["rejected_models"])
+    typed = G.typed(events)
+    state = G.run_state(typed).first()
+    newest = G.enrich(typed).agg(F.max_by("review_route", "seq")).first()[0]
+    if state is None or state["final_outcome"] is not None or newest != "back_to_training":
+        raise ValueError(f"run {result.run_id!r} is not sent back to training")
+    rejected = list(state["rejected_models"])
     log = EventLog(spark, result.events_path, result.run_id)
     cleaned = io.load_stage(spark, result.root, result.run_id, "cleaned")
     result.leaderboard, result.fairness, result.top_features = [], [], []
@@ -190,7 +199,7 @@ def _train_and_audit(spark: SparkSession, out: RunResult, cleaned: DataFrame, re
     out.selected = winners[0]
     model = models[out.selected]
     feats = TR.feature_columns(cleaned, target, out.keys)
-    importance = X.explain(spark, model, test, train, feats, f"{out.root}/models/{run_id}-{log.last}")
+    importance = X.explain(spark, model, test, train, feats, f"{out.root}/models/{quote(run_id, safe='')}-{uuid.uuid4().hex}")
     out.top_features = [r.asDict() for r in X.top_features(importance, 5).collect()]
     log.add("training_run", f"Selected {out.selected} of {len(names)} candidates", {"leaderboard": out.leaderboard, "selected_model_name": out.selected, "shap_summary": out.top_features})
     cands = PT.sensitive_candidates(spark.createDataFrame([(0, run_id, out.plan["sensitive_attribute_candidates"], out.plan["sensitive_attributes"], out.plan["protected_attributes"])], CANDIDATES)).first()["candidates"]
@@ -211,11 +220,11 @@ def decide(spark: SparkSession, result: RunResult, decision: str, feedback: str
     log = EventLog(spark, result.events_path, result.run_id)
     log.add("human_decision", f"Review decision: {decision}", {"human_decision": decision, "human_feedback": feedback}, "human_reviewer")
     log.flush()
-    events = events_io.read_events(spark, result.events_path).where(F.col("run_id") == result.run_id)
+    events = events_io.read_committed(spark, result.events_path).where(F.col("run_id") == result.run_id)
     typed = G.typed(events)
     state = G.run_state(typed).first()
     if state["final_outcome"] is None:
-        return G.enrich(typed).where(F.col("seq") == log.last).first()["review_route"]
+        return G.enrich(typed).where(F.col("token") == log.token).first()["review_route"]
     if state["last_event_type"] != "final_outcome":
         log.outcome(state["final_outcome"], state["retry_count"], state["reroute_count"], selected_model=result.selected, overall_fairness_passed=result.fairness_passed)
         log.flush()

@@ -3,9 +3,10 @@
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from gavel.session import shared_path
-from gavel.sources import io
+from gavel.sources import events_io, io
 
 
 def csv(spark, lines, suffix=".csv"):
@@ -48,3 +49,33 @@ def test_stage_tables_of_two_runs(spark):
     assert io.load_stage(spark, root, "1", "cleaned").columns == ["id", "a"] and io.load_stage(spark, root, "1", "cleaned").count() == 5
     assert io.load_stage(spark, root, "01", "cleaned").columns == ["id", "z"] and io.load_stage(spark, root, "01", "cleaned").count() == 3
     assert io.load_stage(spark, root, "a/../b", "cleaned").count() == 2
+
+
+def test_committed_log_of_several_writers(spark):
+    """Writers side by side, a retried append and one without events: ids are
+    unique and without gaps, and the rows of an append keep their order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = shared_path(spark, "tests", f"log-{uuid.uuid4().hex}")
+
+    def rows(name, n):
+        return events_io.new_events(spark, [(name, i, "planner_run", "automated", f"{name}-{i}", "{}") for i in range(n)])
+
+    sizes = {f"w{k}": 3 + k for k in range(4)}
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(lambda w: events_io.commit_events(rows(w, sizes[w]), path, w), sizes))
+    assert not events_io.commit_events(rows("w1", sizes["w1"]), path, "w1")
+    assert not events_io.commit_events(rows("none", 0), path, "none")
+    with ThreadPoolExecutor(3) as pool:  # three tries of one append at a time
+        assert sorted(pool.map(lambda _: events_io.commit_events(rows("again", 5), path, "again"), range(3))) == [False, False, True]
+    got = events_io.read_events(spark, path).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(1, sum(sizes.values()) + 5 + 1))
+    for w, n in {**sizes, "again": 5}.items():
+        mine = [r for r in got if r.run_id == w]
+        assert [r.summary for r in mine] == [f"{w}-{i}" for i in range(n)]
+        assert mine[-1].seq - mine[0].seq == n - 1
+    big = spark.range(20_000).selectExpr("'big' AS run_id", "id AS seq", "timestamp_ntz'2024-01-01' AS ts", "'planner_run' AS event_type", "'automated' AS event_source", "cast(id AS string) AS summary", "'{}' AS details")
+    assert events_io.commit_events(big.repartition(7), path, "big")
+    base = len(got) + 1
+    assert events_io.read_events(spark, path).where("run_id = 'big'").where(F.col("seq") - base != F.col("summary").cast("long")).count() == 0
+    assert events_io.read_events(spark, path).select("seq").distinct().count() == len(got) + 20_000

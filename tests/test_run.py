@@ -40,6 +40,8 @@ def test_run_with_a_second_plan_review_and_retraining(spark, sf_small):
     assert res.selected and res.selected != first and first not in [e["model_name"] for e in res.leaderboard]
     assert io.load_stage(spark, res.root, "01", "cleaned").count() == stage
     assert R.decide(spark, res, "approve") == "ended" and res.outcome == "APPROVED"
+    with pytest.raises(ValueError):  # the run has ended
+        R.retrain(spark, res)
     log = log_of(spark, res)
     assert [r.seq for r in log] == list(range(1, len(log) + 1))
     assert log[-1].event_type == "final_outcome" and sum(r.event_type == "final_outcome" for r in log) == 1

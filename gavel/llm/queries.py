@@ -105,14 +105,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id""",
     "op8_chat_format": """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-n AS (SELECT conv_id, row_number() OVER w AS pos, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS said,
+n AS (SELECT conv_id, turn, role, text, row_number() OVER w AS pos, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS said,
       count(*) OVER (PARTITION BY conv_id) AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 full_ AS (SELECT conv_id, n, md5(said) AS h FROM n WHERE pos = n),
 inner_ AS (SELECT DISTINCT md5(said) AS h FROM n WHERE pos < n),
 kept AS (SELECT min(conv_id) AS conv_id, n FROM full_ WHERE h NOT IN (SELECT h FROM inner_) GROUP BY h, n)
-SELECT k.conv_id, coalesce(turn // 4096, 0)::BIGINT AS piece, k.n AS n_turns,
+SELECT k.conv_id, ((pos - 1) // 4096)::BIGINT AS piece, k.n AS n_turns,
        string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text
-FROM kept k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL""",
+FROM kept k JOIN n t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL""",
     "op5_mixing": """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
       ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key FROM documents),

@@ -83,6 +83,35 @@ def test_long_conversations_render_in_pieces(spark):
     assert "".join(r.text for r in got).count("<|im_start|>") == 5000
 
 
+def test_conversations_with_ties_against_brute_force(spark):
+    """Null and repeated turn numbers: pieces of BLOCK rows at most, in the
+    order of turn number, role and text; prefixes by that order."""
+    import random
+
+    r = random.Random(5)
+    rows = [(None, None, "user", f"{k:05d}") for k in range(9000)] + [(None, 3, "user", f"x{k}") for k in range(300)]
+    for i in range(60):
+        rows += [(i, r.choice([None, 0, 1, 1, 2]), r.choice(["user", None]), r.choice("ab")) for _ in range(r.randrange(1, 7))]
+    rows += [(100, None, "user", f"{k:05d}") for k in range(8500)] + rows[:40]
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    talks = {}
+    for conv, turn, role, text in set(rows):
+        talks.setdefault(conv, set()).add((-1 if turn is None else turn, role or "", text))
+    talks = {c: [t[1:] for t in sorted(talk)] for c, talk in talks.items()}
+    inner = {tuple(talk[:n]) for talk in talks.values() for n in range(1, len(talk))}
+    kept = {}
+    for c in sorted(talks, key=lambda c: (c is None, c or 0)):
+        if tuple(talks[c]) not in inner:
+            kept.setdefault(tuple(talks[c]), c)
+    want = {c: "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in talk) for talk, c in kept.items()}
+    assert 100 not in want and len(talks[None]) == 9300
+    texts = {}
+    for row in sorted(got, key=lambda row: row.piece):
+        assert row.text.count("<|im_start|>") <= chat.BLOCK and row.n_turns == len(talks[row.conv_id])
+        texts[row.conv_id] = texts.get(row.conv_id, "") + row.text
+    assert texts == want
+
+
 def test_edits_and_likeness(spark, sf_small):
     got = QUERIES["op6_fingerprints"](spark, sf_small).orderBy("doc_id").toPandas()
     rows = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()

@@ -70,18 +70,37 @@ def _odd_csv(spark, sf) -> str:
     lines = d.select(F.concat_ws(",", k.cast("string"), name, size, even).alias("value"))
     path = _fresh(spark, "csv") + ".csv"
     # every file starts with the header, as a CSV folder has it
-    head = lines.mapInArrow(_with_header, "value string")
+    head = lines.mapInArrow(_with_header("doc_id,name,size,even"), "value string")
     head.write.text(path)
     return path
 
 
-def _with_header(batches):
-    import pyarrow as pa
+@query(
+    "src_csv_line_breaks",
+    "SELECT doc_id, CASE WHEN trim(t) = '' THEN NULL ELSE t END AS text, lang FROM (SELECT *, replace(text, chr(13), ' ') AS t FROM documents)",
+)
+def src_csv_line_breaks(spark, sf):
+    """SRC-1 over whole texts with line breaks, quotes and separators, written
+    as plain lines."""
+    d = fx.read(spark, sf, "documents")
+    quoted = F.concat(F.lit('"'), F.replace(F.replace("text", F.lit("\r"), F.lit(" ")), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = d.select(F.concat_ws(",", F.col("doc_id").cast("string"), F.coalesce(quoted, F.lit("")), F.coalesce("lang", F.lit(""))).alias("value"))
+    path = _fresh(spark, "csv") + ".csv"
+    lines.mapInArrow(_with_header("doc_id,text,lang"), "value string").write.text(path)
+    back = io.read_table(spark, path, multi_line=True)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+
+
+def _with_header(header):
+    def add(batches):
+        import pyarrow as pa
+
+        for i, batch in enumerate(batches):
+            if not i:
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
 
-    for i, batch in enumerate(batches):
-        if not i:
-            yield pa.RecordBatch.from_arrays([pa.array(["doc_id,name,size,even"], batch.schema.field(0).type)], schema=batch.schema)
-        yield batch
+    return add
 
 
 @query("src_csv_quoting", f"SELECT doc_id, name, size, coalesce(CAST(even AS VARCHAR), 'missing') AS even FROM ({_ODD_SQL})")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavel.functions.exprs import col, normalise_nan
+from gavel.sources import csv_records
 
 SUPPORTED = (".csv", ".parquet")
 
@@ -31,7 +32,8 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     normalised to NULL.
 
     CSV follows the usual quoting rules (a doubled quote inside quotes; line
-    breaks inside quotes with ``multi_line``, which reads a file in one task).
+    breaks inside quotes with ``multi_line``, by ``csv_records``: many tasks a
+    file).
     The missing-value texts read as NULL, a row with the wrong number of fields
     fails the read, and types are inferred over all remaining values: boolean,
     int, bigint, double, else string."""
@@ -40,7 +42,7 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> Data
         raise ValueError(f"unsupported file type {ext or '(none)'}: only CSV and Parquet are read")
     if ext == ".parquet":
         return normalise_nan(spark.read.parquet(path))
-    raw = spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST", quote='"', escape='"', multiLine=multi_line)
+    raw = csv_records.read(spark, path) if multi_line else spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST", quote='"', escape='"')
     return normalise_nan(_with_types(_without_markers(raw, MISSING_TEXTS)))
 
 

@@ -36,6 +36,47 @@ def test_malformed_rows_fail(spark):
     assert [tuple(r) for r in good] == [(1, "x"), (None, None)]
 
 
+def odd_csv(seed, rows):
+    """Fields with line breaks, doubled and stray quotes, text after a closing
+    quote, empty lines and both kinds of line end."""
+    import random
+
+    r = random.Random(seed)
+    fields = ["", "x", 'a"b', "a b", '""', '"q"', '"say ""hi"""', '"two\nlines"', '"\n\n,"', '"a,b"', '"x"y', 'z""', '"""\n"""', '"ends\n"', "'", '"\n"", ""\n"']
+    lines = ["n,a,b"]
+    for k in range(rows):
+        lines += [f"{k},{r.choice(fields)},{r.choice(fields)}"] + [""] * (r.random() < 0.1)
+    return "\n".join(lines) + "\n"
+
+
+def test_line_breaks_inside_quotes_by_many_tasks(spark):
+    from gavel.sources import csv_records
+
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    for seed, chunk, end in ((1, 3, "\n"), (2, 5, "\n"), (3, 1 << 16, "\r\n")):
+        path = csv(spark, odd_csv(seed, 300).replace("\n", end).removesuffix(end).split("\n"))
+        want = spark.read.csv(path, header=True, mode="FAILFAST", quote='"', escape='"', multiLine=True)
+        spark.conf.set(key, "700")
+        try:
+            assert spark.read.text(path).rdd.getNumPartitions() > 5
+            got = csv_records.read(spark, path, chunk=chunk)
+            assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        finally:
+            spark.conf.set(key, old)
+
+
+def test_line_breaks_of_several_files_and_bad_rows(spark):
+    path = shared_path(spark, "tests", f"csv-{uuid.uuid4().hex}.csv")
+    spark.createDataFrame([(f"a,b\n{k},\"x\ny{k}\"",) for k in range(4)], "value string").repartition(4).write.text(path)
+    got = io.read_table(spark, path, multi_line=True)
+    assert dict(got.dtypes) == {"a": "int", "b": "string"}
+    with pytest.raises(Exception):
+        io.read_table(spark, csv(spark, ["a,b", '1,"2', '3",4']), multi_line=True).collect()
+    assert io.read_table(spark, csv(spark, ["a,b"]), multi_line=True).count() == 0
+    assert sum(r.b.startswith("x\ny") for r in got.collect()) == 4
+
+
 def test_other_files_are_refused(spark):
     with pytest.raises(ValueError):
         io.read_table(spark, "/x/y.json")

@@ -52,18 +52,20 @@ def odd_csv(seed, rows):
 def test_line_breaks_inside_quotes_by_many_tasks(spark):
     from gavel.sources import csv_records
 
-    key = "spark.sql.files.maxPartitionBytes"
-    old = spark.conf.get(key)
-    for seed, chunk, end in ((1, 3, "\n"), (2, 5, "\n"), (3, 1 << 16, "\r\n")):
+    size, batch = "spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = {k: spark.conf.get(k) for k in (size, batch)}
+    for seed, lines, end in ((1, 3, "\n"), (2, 5, "\n"), (3, 10000, "\r\n")):
         path = csv(spark, odd_csv(seed, 300).replace("\n", end).removesuffix(end).split("\n"))
         want = spark.read.csv(path, header=True, mode="FAILFAST", quote='"', escape='"', multiLine=True)
-        spark.conf.set(key, "700")
+        spark.conf.set(size, "700")
+        spark.conf.set(batch, lines)
         try:
             assert spark.read.text(path).rdd.getNumPartitions() > 5
-            got = csv_records.read(spark, path, chunk=chunk)
+            got = csv_records.read(spark, path)
             assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
         finally:
-            spark.conf.set(key, old)
+            for k, v in old.items():
+                spark.conf.set(k, v)
 
 
 def test_line_breaks_of_several_files_and_bad_rows(spark):

@@ -101,3 +101,27 @@ def test_registered_forests_have_no_depth_limit(monkeypatch):
     monkeypatch.setattr(q_model.TR, "fit", lambda train, impl, task, **kw: q_model.TR.trees.fit_forest(train, task, 2, max_depth=kw.get("max_depth", 0)))
     q_model._fit(None, "random_forest", "classification")
     assert seen == {"max_depth": 0}
+
+
+def test_stratified_split_moves_no_rows_by_class(spark):
+    df = spark.range(1000).selectExpr("id k", "if(id % 10 = 0, 'rare', 'common') t", "id * 2 v")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        split = TR.stratified_split(df, "k", "t")
+        plan = split._jdf.queryExecution().executedPlan().toString()
+        assert split.where("is_test").count() == 200
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_solvers_keep_lean_rows_in_small_partitions(spark, monkeypatch):
+    monkeypatch.setattr(TR, "FIT_ROWS", 5)
+    data = _prepared(spark, _rows(BINARY), "classification")
+    seen = []
+    monkeypatch.setattr(TR, "estimator", lambda *a: type("E", (), {"fit": lambda self, df: seen.append(df)})())
+    TR.fit(data, "logistic", "classification")
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert seen[0].columns == ["label", "features"] and sum(sizes) == 400 and max(sizes) < 20

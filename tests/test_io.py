@@ -122,3 +122,14 @@ def test_committed_log_of_several_writers(spark):
     base = len(got) + 1
     assert events_io.read_events(spark, path).where("run_id = 'big'").where(F.col("seq") - base != F.col("summary").cast("long")).count() == 0
     assert events_io.read_events(spark, path).select("seq").distinct().count() == len(got) + 20_000
+
+
+def test_inferred_kinds_equal_the_casts_and_cost_no_failed_ones(spark):
+    texts = ["1", "+1", "-5", "007", "1.", "1.5", ".5", "-.5e3", "1E+5", "1d", "0x1p3", "NaN", "-nan", "inf", "+INFINITY", "infi", "true", "FALSE", "t",
+             "2147483647", "2147483648", "9223372036854775808", "\t5", "5\t", "\x7f5", "1995-01-01", "5-LOW", "-", ".", "1e", "1_000", "\u0663", "1e400", "x"]
+    v = F.col("v")
+    want = F.when(v.try_cast("int").isNotNull(), 1).when(v.try_cast("bigint").isNotNull(), 2).when(F.lower(v).isin("true", "false"), 0).when(v.try_cast("double").isNotNull(), 3).otherwise(4)
+    rows = spark.createDataFrame([(x,) for x in texts], "v string")
+    assert [r for r in rows.select("v", want.alias("a"), io._kind(v).alias("b")).collect() if r.a != r.b] == []
+    got = io._with_types(spark.createDataFrame([("\x7f5", "\x7f5"), ("1.5", "2")], "a string, b string"))
+    assert dict(got.dtypes) == {"a": "string", "b": "int"}

@@ -171,7 +171,7 @@ def _train_and_audit(spark: SparkSession, out: RunResult, cleaned: DataFrame, re
         prepared = TR.prepare(split, target, out.keys, task, C.label_mapping(cleaned, target))
     else:
         prepared = TR.prepare(TR.with_split(keyed, "__split").drop("__split"), target, out.keys, task)
-    prepared = prepared.persist()
+    # not kept: a pass scans the columns it needs of the stage table
     train, test = prepared.where(~F.col("is_test")), prepared.where(F.col("is_test"))
     entries, models = [], {}
     for r in resolved:
@@ -194,7 +194,6 @@ def _train_and_audit(spark: SparkSession, out: RunResult, cleaned: DataFrame, re
         log.add("training_run", f"No candidate could be trained: {names}", {"error": "no model trained", "leaderboard": out.leaderboard})
         log.add("fairness_run", "Fairness skipped: there is no fitted model", {"error": "no fitted model", "overall_fairness_passed": False, "fairness_report": [], "attributes_skipped": []})
         out.fairness_passed = False
-        prepared.unpersist()
         return
     out.selected = winners[0]
     model = models[out.selected]
@@ -210,7 +209,6 @@ def _train_and_audit(spark: SparkSession, out: RunResult, cleaned: DataFrame, re
     out.fairness_passed = bool(overall.first()["overall_fairness_passed"])
     log.add("fairness_run", f"Fairness of {len(out.fairness)} attributes, {'passed' if out.fairness_passed else 'violated'}",
             {"overall_fairness_passed": out.fairness_passed, "fairness_report": out.fairness, "attributes_skipped": [r["skipped_entry"] for r in skipped.collect()]})
-    prepared.unpersist()
 
 
 def decide(spark: SparkSession, result: RunResult, decision: str, feedback: str = "") -> str:

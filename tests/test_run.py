@@ -97,3 +97,16 @@ def test_a_failing_candidate_does_not_end_the_run(spark, sf_small, monkeypatch):
 def test_regression_run(spark, sf_small):
     res = R.run_governed(spark, fx.gov(spark, sf_small), "total", "regression", plan(["Ridge", "Lasso"]), "r", keys=("order_id",), root=root(spark))
     assert res.leaderboard[0]["rmse"] <= res.leaderboard[1]["rmse"] and res.fairness == [] and res.fairness_passed
+
+
+def test_a_run_and_its_report_keep_no_whole_rows(spark, sf_small, monkeypatch):
+    """A kept partition is unrolled and read as a whole by one task."""
+    from gavel.plans import QUERIES, q_model
+
+    classic = type(spark.range(1))
+    kept, persist = [], classic.persist
+    monkeypatch.setattr(classic, "persist", lambda self, *a, **k: (kept.append(self.columns), persist(self, *a, **k))[1])
+    assert q_model.fairness_run(spark, sf_small)[0].count() > 0
+    assert QUERIES["train_ridge_gradient"](spark, sf_small).count() > 0
+    res = R.run_governed(spark, fx.gov(spark, sf_small), "income", "classification", [plan(["Logistic Regression"])], "lean", keys=("order_id",), root=root(spark))
+    assert res.selected and not [c for c in kept if "features" in c]

@@ -46,6 +46,47 @@ def test_tree_shap_matches_brute_force():
             assert abs(phi[r, i] - v) < 1e-12
 
 
+def test_leaf_shares_are_computed_once_a_pattern(monkeypatch):
+    """The work on a leaf is bounded by the patterns of its path's features, not by
+    the rows; rows with missing values, subtrees and long paths included."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (5000, 12)).astype(float)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    parts = [[], [], [], [], [], [], []]  # left, right, feature, threshold, value, cover, missing_left
+
+    def add(cover, depth):
+        j = len(parts[0])
+        leaf = depth == 0 or cover < 2 or (depth < 9 and rng.random() < 0.15)
+        for part, v in zip(parts, (-1, -1, rng.integers(12), rng.integers(3) + 0.5, rng.integers(2) if leaf else 0, cover, rng.random() < 0.5), strict=True):
+            part.append(v)
+        if not leaf:
+            a = cover * rng.uniform(0.2, 0.8)
+            parts[0][j] = add(a, depth - 1)
+            parts[1][j] = add(cover - a, depth - 1)
+        return j
+
+    add(4000.0, 11)
+    left, right, feature, threshold, value, cover, missing = map(np.array, parts)
+    t = X.Tree(left, right, feature, threshold, value.astype(float), cover, 1.0, missing)
+    start = {3: (0.5, 2.5, True, 0.4), 20: (-np.inf, 1.0, False, 0.7)}
+    x = np.column_stack([x, np.zeros((5000, 7)), np.nan_to_num(x[:, :2])])
+    sizes, share = [], X._pattern_shares
+    monkeypatch.setattr(X, "_pattern_shares", lambda z, at, v: (sizes.append((len(z), share(z, at, v)[0].shape[1])), share(z, at, v))[1])
+    for path in (None, start):
+        for rows in (x[:40], x):
+            got, want = np.zeros(rows.shape), np.zeros(rows.shape)
+            X.tree_shares(t, rows, got, 0.5, path)
+            X.leaf_shares(X.leaf_paths(t, path), rows, want, 0.5)
+            assert np.allclose(got, want, atol=1e-12)
+    assert len({n for n, _ in sizes}) > 4 and all(k <= max(64, 2**n) and k <= 5000 for n, k in sizes)
+    assert np.abs(want).sum() > 0
+    # more features than a pattern has bits
+    monkeypatch.setattr(X, "PATTERN_BITS", 5)
+    wide = np.zeros(x.shape)
+    X.tree_shares(t, x, wide, 0.5, start)
+    assert np.allclose(wide, want, atol=1e-12)
+
+
 def _prepared(spark, rows, task, classes=None):
     df = spark.createDataFrame(rows, "k long, a double, b double, c double, y double")
     return TR.prepare(TR.with_split(df, "k"), "y", ("k",), task, classes)

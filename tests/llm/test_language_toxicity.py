@@ -99,3 +99,61 @@ def test_words_a_few_times_likelier_in_toxic_texts_count(spark):
     docs, labels = class_documents(spark, lambda i, toxic: "edgy" if i * 7919 % 100 < (60 if toxic else 10) else "plain")
     got = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
     assert auc(got.score, got.toxic) > 0.6
+
+
+def plain_kneser_ney(texts, said, out):
+    """log P(toxic) - log P(ordinary) of every text by plain counting, without fold ``out``."""
+    from collections import Counter
+    from math import log
+
+    words = {i: ["", *t.split()] for i, t in texts.items()}
+    every = {(v, w) for i in said for v, w in zip(words[i], words[i][1:], strict=False)}
+    size, pairs = len({w for _, w in every}), []
+    for c in (1, 0):
+        pairs.append(Counter(p for i, (toxic, fold) in said.items() if toxic == c and fold != out for p in zip(words[i], words[i][1:], strict=False)))
+    before = [Counter(w for _, w in n) for n in pairs]
+    different = [len(n) for n in pairs]
+
+    def discount(n):
+        once, twice = (sum(x == k for x in n.values()) for k in (1, 2))
+        return once / (once + 2 * twice) if once else 0.5
+
+    def probability(c, v, w):
+        shared = (before[0][w] + before[1][w] + 0.5) / (sum(different) + 0.5 * (size + 1))
+        d = discount(before[c])
+        p = (max(before[c][w] - d, 0) + d * len(before[c]) * shared) / different[c]
+        after = {x: n for (a, x), n in pairs[c].items() if a == v}
+        d = discount(pairs[c])
+        return (max(pairs[c][v, w] - d, 0) + d * len(after) * p) / sum(after.values()) if after else p
+
+    return {i: sum(log(probability(0, v, w)) - log(probability(1, v, w)) for v, w in zip(x, x[1:], strict=False)) for i, x in words.items()}
+
+
+def test_ratios_are_those_of_plain_word_pair_models(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{x}" for x in rng.zipf(1.6, rng.integers(0, 30)) % 50) for i in range(60)}
+    fold = {r.doc_id: r.k for r in spark.createDataFrame([(i,) for i in texts], "doc_id long").select("doc_id", (id_crc("doc_id") % 5).alias("k")).collect()}
+    docs = spark.createDataFrame([(i, t.upper() + " !") for i, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts if i % 7], "doc_id long, toxic int")
+    said = {i: (int(i % 3 == 0), fold[i]) for i in texts if i % 7 and fold[i]}
+    whole = plain_kneser_ney(texts, said, 0)
+    crossed = {k: plain_kneser_ney(texts, said, k) for k in toxicity.FOLDS}
+    # once in one round, once in several over small packs and ranges
+    for pack, words in ((toxicity.PACK, toxicity.RANGE), (100, 20)):
+        monkeypatch.setattr(toxicity, "PACK", pack)
+        monkeypatch.setattr(toxicity, "RANGE", words)
+        monkeypatch.setattr(toxicity, "ROUNDS", 2)
+        got = toxicity.ratio_sums(docs, labels, "doc_id", "text", "toxic").collect()
+        assert sorted(r["id"] for r in got) == sorted(texts)
+        for r in got:
+            assert r.words == len(texts[r["id"]].split())
+            assert abs(r.whole[0] - whole[r["id"]]) < 1e-9
+            if r["id"] in said:
+                assert abs(r.crossed[0] - crossed[fold[r["id"]]][r["id"]]) < 1e-9
+
+
+def test_phrases_of_everyday_words_count(spark):
+    # all texts hold the same words; their order tells the classes apart
+    docs, labels = class_documents(spark, lambda i, toxic: "dog bites man" if toxic else "man bites dog")
+    got = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+    assert auc(got.score, got.toxic) > 0.95

@@ -87,6 +87,41 @@ def test_leaf_shares_are_computed_once_a_pattern(monkeypatch):
     assert np.allclose(wide, want, atol=1e-12)
 
 
+def test_subtrees_work_on_classes_of_rows(monkeypatch):
+    """A small subtree works on the rows that its tests and its path tell apart, not
+    on every row; missing values and the path of a subtree included."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(20_000, 6)), 2)
+    x[:, 3:] = rng.integers(0, 2, (20_000, 3))
+    x[rng.random(x.shape) < 0.02] = np.nan
+    cover, left, right, feature, threshold, value, missing = [], [], [], [], [], [], []
+
+    def add(rows, depth):
+        j = len(left)
+        leaf = depth == 0 or len(rows) < 20
+        f = int(rng.integers(6))
+        cut = float(np.nan_to_num(x[rng.choice(rows), f])) if len(rows) else 0.0
+        for part, v in zip((left, right, feature, threshold, value, cover, missing), (-1, -1, -1 if leaf else f, cut, rng.integers(3) / 2, len(rows) + 1.0, rng.random() < 0.5), strict=True):
+            part.append(v)
+        if not leaf:
+            on = np.where(np.isnan(x[rows, f]), missing[j], x[rows, f] <= cut)
+            left[j] = add(rows[on], depth - 1)
+            right[j] = add(rows[~on], depth - 1)
+        return j
+
+    add(np.arange(len(x)), 9)
+    t = X.Tree(*map(np.array, (left, right, feature, threshold, value, cover)), 1.0, np.array(missing))
+    worked, share = [], X._pattern_shares
+    monkeypatch.setattr(X, "_pattern_shares", lambda z, at, v: (worked.append(len(at)), share(z, at, v))[1])
+    for start in (None, {1: (-0.5, 1.5, True, 0.4)}):
+        worked.clear()
+        got, want = np.zeros(x.shape), np.zeros(x.shape)
+        X.tree_shares(t, x, got, 0.5, start)
+        X.leaf_shares(X.leaf_paths(t, start), x, want, 0.5)
+        assert np.allclose(got, want, atol=1e-12) and np.abs(want).sum() > 0
+        assert len(worked) > 50 and sum(worked) < len(worked) * len(x) / 5
+
+
 def _prepared(spark, rows, task, classes=None):
     df = spark.createDataFrame(rows, "k long, a double, b double, c double, y double")
     return TR.prepare(TR.with_split(df, "k"), "y", ("k",), task, classes)

@@ -201,3 +201,15 @@ def test_solvers_keep_lean_rows_in_small_partitions(spark, monkeypatch):
     TR.fit(data, "logistic", "classification")
     sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
     assert seen[0].columns == ["label", "features"] and sum(sizes) == 400 and max(sizes) < 20
+
+
+def test_test_rows_are_scored_once(spark, sf_small, monkeypatch):
+    """The metrics read stored predictions: no branch of their plan runs the model again."""
+    from gavel.plans import q_model
+
+    fit, seen = TR.trees.fit_forest, []
+    monkeypatch.setattr(q_model.TR, "fit", lambda train, impl, task: fit(train, task, 2, n_trees=2))
+    monkeypatch.setattr(q_model.E, "classification_metrics", lambda p: seen.append(p) or p)
+    assert q_model.train_random_forest(spark, sf_small).count() > 0
+    assert "Python" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert seen[0].columns == ["model", "label", "pred", "score"]
